@@ -54,7 +54,7 @@ def walk_lookback(df: DataFrame, spec: SeriesSpec, lookback: int, start: int, st
     # start + f*step - lookback <= r <= start + f*step
     lo_f = F.greatest(F.ceil((F.col(ri) - start) / step), F.lit(0))
     hi_f = F.floor((F.col(ri) - start + lookback) / step)
-    d = d.withColumn("fold", F.explode(F.sequence(lo_f.cast("long"), hi_f.cast("long"))))
+    d = d.filter(hi_f >= lo_f).withColumn("fold", F.explode(F.sequence(lo_f.cast("long"), hi_f.cast("long"))))
     d = d.filter(F.col("fold") >= 0)
     test_pos = F.lit(start) + F.col("fold") * step
     d = d.withColumn(name, F.when(F.col(ri) == test_pos, F.lit("test")).otherwise(F.lit("train")))

@@ -3,7 +3,7 @@
 Importing this package registers every query module.
 """
 
-from tidemark.plans import feature_queries, profile_queries, strategy_queries, window_queries  # noqa: F401
+from tidemark.plans import feature_queries, prep_queries, profile_queries, strategy_queries, window_queries  # noqa: F401
 from tidemark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
