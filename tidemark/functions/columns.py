@@ -183,3 +183,12 @@ def schema_diff(a_cols: Iterable[str], b_cols: Iterable[str]) -> tuple[list[str]
     a, b = list(a_cols), list(b_cols)
     sb, sa = set(b), set(a)
     return [c for c in a if c not in sb], [c for c in b if c not in sa]
+
+
+def safe_corr(a, b):
+    """Pearson correlation on pairwise-complete rows, NULL when either side
+    has zero variance (Spark's ``corr`` raises DIVIDE_BY_ZERO under ANSI)."""
+    x, y = _c(a).cast("double"), _c(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    xa, ya = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_samp(xa, ya), F.stddev_samp(xa) * F.stddev_samp(ya))

@@ -13,7 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import bias_corrected_kurt, bias_corrected_skew, lit_d
+from tidemark.functions.columns import safe_corr, bias_corrected_kurt, bias_corrected_skew, lit_d
 from tidemark.operators.series import SeriesSpec, attach_length, ensure_index, with_row_index
 
 CHUNK = 40  # columns per aggregate; ~10 expressions each keeps codegen small
@@ -240,7 +240,7 @@ def corr_with(df: DataFrame, cols: Sequence[str], target: str, min_pairs: int =
     """Pearson correlation of each column with ``target`` on pairwise
     complete rows and the number of such pairs; NULL below ``min_pairs``
     (A12).  One aggregate for all columns."""
-    stats = {"corr": lambda c: F.corr(c.cast("double"), F.col(target).cast("double")),
+    stats = {"corr": lambda c: safe_corr(c.cast("double"), F.col(target).cast("double")),
              "pairs": lambda c: F.count(F.when(c.isNotNull() & F.col(target).isNotNull(), 1))}
     out = _long(df, cols, stats)
     return out.withColumn("corr", F.when(F.col("pairs") > min_pairs, F.col("corr")))
@@ -252,7 +252,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     over columns (a schema property), not rows."""
     d = df.dropna("any", subset=list(cols))
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
     wide = d.agg(*aggs)
     rows = ", ".join(f"'{a}', '{b}', `p{i}`" for i, (a, b) in enumerate(pairs))
     return wide.selectExpr(f"stack({len(pairs)}, {rows}) as (a, b, corr)")

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import EPS, bias_corrected_kurt, bias_corrected_skew, flag, lit_d, safe_div
+from tidemark.functions.columns import safe_corr, EPS, bias_corrected_kurt, bias_corrected_skew, flag, lit_d, safe_div
 from tidemark.operators.series import SeriesSpec, ensure_index, ffill, prefix_sum, windowed, with_row_index
 
 STATS = ("mean", "std", "max", "min", "skew", "kurt")
@@ -164,7 +164,7 @@ def acf(df: DataFrame, spec: SeriesSpec, col: str, lags: Iterable[int], of: str
     base = F.abs(F.col(col)) if of == "abs" else F.col(col)
     d = df.withColumn("__x", base)
     d = windowed(d, spec, lambda w: [F.lag("__x", k).over(w).alias(f"__l{k}") for k in lags], before=max(lags))
-    aggs = [F.corr("__x", f"__l{k}").alias(f"c{k}") for k in lags]
+    aggs = [safe_corr("__x", f"__l{k}").alias(f"c{k}") for k in lags]
     wide = d.agg(F.count(F.lit(1)).alias("__n"), *aggs)
     stack = ", ".join(f"{k}, c{k}" for k in lags)
     return wide.selectExpr("__n", f"stack({len(lags)}, {stack}) as (lag, acf)").select(
