@@ -241,7 +241,7 @@ _CR_SQL = with_(WIDE_DAILY, "c AS (" + _union(
     f"SELECT '{c}' AS column, {i} AS k, CORR({c}, target) AS corr, COUNT(CASE WHEN {c} IS NOT NULL AND target IS NOT "
     f"NULL THEN 1 END) AS pairs FROM wide_daily" for i, c in enumerate(WD_COLS)) + ")") + """
 SELECT "column", ROUND(CASE WHEN pairs > 100 THEN corr END, 6) AS corr, pairs,
-  ROW_NUMBER() OVER (ORDER BY ABS(CASE WHEN pairs > 100 THEN corr END) DESC NULLS LAST, k) AS rank
+  ROW_NUMBER() OVER (ORDER BY ABS(ROUND(CASE WHEN pairs > 100 THEN corr END, 6)) DESC NULLS LAST, k) AS rank
 FROM c"""
 
 
@@ -249,10 +249,10 @@ FROM c"""
 def corr_rank(spark, sf_dir):
     """Correlation of each family column with the target (> 100 pairs),
     ranked by |r| with ties in column order (A12, L1, K3)."""
-    c = P.corr_with(wide_daily(spark, sf_dir), WD_COLS, "target", min_pairs=100)
+    c = rounded(P.corr_with(wide_daily(spark, sf_dir), WD_COLS, "target", min_pairs=100))
     pos = F.create_map(*[x for i, col in enumerate(WD_COLS) for x in (F.lit(col), F.lit(i))])
     w = Window.orderBy(F.abs("corr").desc_nulls_last(), pos[F.col("column")])  # one row per column
-    return rounded(c.withColumn("rank", F.row_number().over(w).cast("long")))
+    return c.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 _CM_COLS = ["E1", "E2", "V1", "V2", "M1", "M2", "S1", "S2", "P1", "P2", "I1", "I3"]
