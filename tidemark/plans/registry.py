@@ -34,7 +34,8 @@ def query(name: str, sql: str | None = None):
 # prices, moments of quantised rates) are common, and 1e-16 differences between
 # engines land on either side of them; the cut is moved a little off the tie.
 TIE_SHIFT = 0.5001
-ROUND_LIMIT = 1e17  # |x * 10^d| above this is left unrounded (no BIGINT overflow)
+ROUND_LIMIT = 1e17  # |x * 10^d| above this is rounded to an integer instead (no BIGINT overflow)
+INT_LIMIT = 1e15    # above this, doubles are integers already and are left as they are
 
 
 def round_half_up(c, digits: int):
@@ -42,7 +43,8 @@ def round_half_up(c, digits: int):
     and in the oracle text (``portable_round``)."""
     scale = float(10 ** digits)
     lim = ROUND_LIMIT / scale
-    return F.when(F.abs(c) < F.lit(lim), F.floor(c * F.lit(scale) + F.lit(TIE_SHIFT)) / F.lit(scale)).otherwise(c)
+    return (F.when(F.abs(c) < F.lit(lim), F.floor(c * F.lit(scale) + F.lit(TIE_SHIFT)) / F.lit(scale))
+            .when(F.abs(c) < F.lit(INT_LIMIT), F.floor(c + F.lit(TIE_SHIFT)).cast("double")).otherwise(c))
 
 
 def rounded(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
@@ -91,5 +93,6 @@ def portable_round(sql: str) -> str:
         scale = float(10 ** digits)
         x = f"CAST({inner} AS DOUBLE)"
         out.append(f"(CASE WHEN ABS({x}) < {ROUND_LIMIT / scale!r} THEN FLOOR({x} * {scale!r} + {TIE_SHIFT!r}) / "
-                   f"{scale!r} ELSE {x} END)")
+                   f"{scale!r} WHEN ABS({x}) < {INT_LIMIT!r} THEN CAST(FLOOR({x} + {TIE_SHIFT!r}) AS DOUBLE) "
+                   f"ELSE {x} END)")
         i = k
