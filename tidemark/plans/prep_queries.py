@@ -13,7 +13,7 @@ from tidemark.operators.missing import MedianImputer
 from tidemark.operators.series import SeriesSpec, ffill, slice_rows, take_evenly, windowed, with_row_index, is_sorted
 from tidemark.plans.fixtures_sql import DAILY_MARKET, USER_SERIES, WIDE_DAILY, WIDE_DAILY_NULLS, with_
 from tidemark.plans.profile_queries import WD_COLS
-from tidemark.plans.registry import query, rounded
+from tidemark.plans.registry import query, round_sig, rounded, sig_sql
 from tidemark.sources.tables import DAILY, USERS, daily_market, read_table, user_series, wide_daily, wide_daily_nulls
 
 _IMP_COLS = WD_COLS + ["target"]
@@ -54,15 +54,15 @@ def ffill_query(spark, sf_dir):
 _VR_SQL = with_(WIDE_DAILY, "v AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column, {i} AS k, VAR_SAMP({c}) AS variance FROM wide_daily" for i, c in enumerate(WD_COLS))
     + ")") + """
-SELECT "column", ROUND(variance, 6) AS score, ROW_NUMBER() OVER (ORDER BY ROUND(variance, 6) DESC NULLS LAST, k) AS rank
-FROM v"""
+SELECT "column", {sig} AS score, ROW_NUMBER() OVER (ORDER BY {sig} DESC NULLS LAST, k) AS rank
+FROM v""".replace("{sig}", sig_sql("variance"))
 
 
 @query("variance_rank", _VR_SQL)
 def variance_rank(spark, sf_dir):
     """Columns ranked by sample variance (L2); ties at the reported precision
     go to column order."""
-    v = rounded(L.variance_scores(wide_daily(spark, sf_dir), WD_COLS).withColumnRenamed("variance", "score"))
+    v = L.variance_scores(wide_daily(spark, sf_dir), WD_COLS).select("column", round_sig(F.col("variance")).alias("score"))
     return L.rank_scores(v, WD_COLS, "score")
 
 

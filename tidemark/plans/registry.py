@@ -96,3 +96,15 @@ def portable_round(sql: str) -> str:
                    f"{scale!r} WHEN ABS({x}) < {INT_LIMIT!r} THEN CAST(FLOOR({x} + {TIE_SHIFT!r}) AS DOUBLE) "
                    f"ELSE {x} END)")
         i = k
+
+
+def round_sig(c, digits: int = 10):
+    """Round to ``digits`` significant digits (same expression as
+    ``sig_sql``): for scores spanning many orders of magnitude."""
+    s = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(c))))
+    return F.when(c == 0, c).otherwise(F.floor(c * s + F.lit(TIE_SHIFT)) / s)
+
+
+def sig_sql(x: str, digits: int = 10) -> str:
+    s = f"POW(10.0, {digits - 1} - FLOOR(LOG10(ABS({x}))))"
+    return f"(CASE WHEN {x} = 0 THEN {x} ELSE FLOOR({x} * {s} + {TIE_SHIFT!r}) / {s} END)"
