@@ -238,6 +238,12 @@ def build_features(df: DataFrame, spec: SeriesSpec, regime: str = "global", with
         d = vol_of_vol(d, spec)
     d = family_row_features(d)
     d = family_window_features(d, spec, regime)
+    # the EWMs below checkpoint their output; materialise their input once so
+    # each of them does not recompute the whole plan above
+    from tidemark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(d.sparkSession)
+    d = d.checkpoint(eager=True)
     d = technical_block(d, spec)
     d = interactions(d)
     if "date_id" in d.columns:
