@@ -69,10 +69,5 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z lower-cased, every other character unchanged."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,19 +17,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ascii_lower, let, small, upto
+from tidemark.llm.common import let, small, upto
 
 SPAN = 13  # words of a benchmark window
 K = 8      # words of a gram
 W = SPAN - K + 1  # grams of a winnowing run
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words.
+BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: At most so many benchmark fingerprints are broadcast (about 30 bytes each).
 BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
-    """Words of the lower-cased (A-Z) text; a null text has none."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
+    """Words of the lower-cased (A-Z) text; a null text has none.
+
+    Each byte of the text is taken as one ISO-8859-1 character, which is several
+    times as fast to lower-case as translating 26 letters.  Besides A-Z this
+    changes only first bytes of two-byte characters (C3 to E3 and so on); they
+    stay apart from the three-byte ones, which have another length.  So two words
+    are equal here exactly if they are equal with A-Z lower-cased; the words are
+    only compared and counted, never shown.
+    """
+    low = F.lower(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"))
+    first = lambda a: F.when(F.get(a, F.lit(0)) == "", 2).otherwise(1)  # noqa: E731  a break at either end leaves an empty string
+    last = lambda a: F.size(a) - F.when(F.element_at(a, -1) == "", 1).otherwise(0)
+    return F.when(F.length(text) > 0, let(F.split(low, BREAK), lambda a: F.slice(
+        a, first(a), F.greatest(last(a) - first(a) + 1, F.lit(0))))).otherwise(F.array().cast("array<string>"))
+
+
+def _beside(a: Column, b: Column, d: int, f) -> Column:
+    """``f(a[i], b[i + d])`` for every i that has both; a is at least as long as b."""
+    n = F.size(b) - d
+    return F.when(n >= 1, F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + d), n), f)).otherwise(
+        F.array().cast("array<bigint>"))
 
 
 def grams(ws: Column, k: int) -> Column:
@@ -37,14 +57,39 @@ def grams(ws: Column, k: int) -> Column:
     return F.transform(upto(F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k), F.lit(k)))
 
 
-def winnowed(gs: Column, w: int = W) -> Column:
+def grams8(ws: Column) -> Column:
+    """As ``grams`` for eight words, by doubling: of words, pairs, fours and eights."""
+    def doubled(h, d):
+        return _beside(h, h, d, lambda a, b: F.xxhash64(a, b))
+
+    return let(let(let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: doubled(h, 1)),
+                   lambda h: doubled(h, 2)), lambda h: doubled(h, 4))
+
+
+def winnowed(gs: Column) -> Column:
     """``array<struct<pos,h>>``: the leftmost smallest gram of every run of
-    ``w`` grams, each once."""
-    def least(s):
-        return let(F.slice(gs, s, w), lambda run: (s + F.array_position(run, F.array_min(run)) - 1).cast("int"))
+    ``W`` = 6 grams, each once.
+
+    The smallest of six is the smaller of two threes.  The gram kept changes
+    where the smallest changes or where the run has just left it behind."""
+    def kept(least):
+        def new(s):
+            was = F.get(least, s - 2)
+            return (s == 1) | (F.get(least, s - 1) != was) | (F.get(gs, s - 2) == was)
+
+        def place(s):
+            h = F.get(least, s - 1)
+            return F.struct((s - 1 + F.array_position(F.slice(gs, s, W), h)).cast("int").alias("pos"), h.alias("h"))
+
+        return F.transform(F.filter(upto(F.size(least)), new), place)
+
+    def smaller(a, b):
+        return F.least(a, b)
+
+    def of_three(g):
+        return _beside(_beside(g, g, 1, smaller), g, 2, smaller)
 
-    at = F.array_distinct(F.transform(upto(F.size(gs) - (w - 1)), least))
-    return F.transform(at, lambda p: F.struct(p.alias("pos"), F.element_at(gs, p).alias("h")))
+    return let(let(of_three(gs), lambda t: _beside(t, t, 3, smaller)), kept)
 
 
 def every(gs: Column) -> Column:
@@ -73,7 +118,7 @@ def contamination(docs: DataFrame, bench: DataFrame, share_inverse: int = 20) ->
     short = sorted(r[0] for r in items.select(F.size("iw").alias("n")).where(F.col("n") < SPAN).distinct().collect())
 
     def prints(ws: Column, item: bool) -> Column:
-        parts = [let(grams(ws, K), winnowed)]
+        parts = [let(grams8(ws), winnowed)]
         for n in short:
             one = every(grams(ws, n))
             parts.append(F.when(F.size(ws) == n, one).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>")) if item else one)
