@@ -71,3 +71,18 @@ def n_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def filesystem(path: str):
+    """``(pyarrow file system, path in it)`` of a local path or a URI, for tasks
+    that write binary files."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts; sizes the number of buckets, never the result."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

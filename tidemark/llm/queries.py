@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import n_words, staged, table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.token_records import token_records
+from tidemark.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +105,32 @@ def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS dig FROM pages),
+f AS (SELECT dig, min(page_id) AS f FROM p WHERE n >= 100 GROUP BY dig)
+SELECT page_id, n::BIGINT AS payload_bytes, dig AS payload_digest,
+       CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM p LEFT JOIN f USING (dig)
+"""
+
+
+@_query("op7_warc", OP7_SQL)
+def op7(spark, sf_dir):
+    """Every page through a dictionary-compressed archive and back."""
+    return warc_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op8_token_records")
+def op8(spark, sf_dir):
+    """Every document as token ids in record files and back."""
+    return token_records(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
