@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import n_words, staged, table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_records import token_records
 from tidemark.llm.warc import warc_round_trip
 
@@ -134,3 +135,22 @@ def tokenizer_path() -> str:
 def op8(spark, sf_dir):
     """Every document as token ids in record files and back."""
     return token_records(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 19) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE n > 1),
+l AS (SELECT doc_id, count(*) AS n_removed, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT d.doc_id, w, coalesce(n_removed, 0) AS n_removed,
+             CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept
+      FROM d LEFT JOIN l USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+@_query("op4_substring_dedup", OP4_SQL)
+def op4(spark, sf_dir):
+    """Every document without the 20-word windows that occur earlier."""
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))

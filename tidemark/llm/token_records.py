@@ -18,6 +18,7 @@ is never read.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -116,7 +117,7 @@ class PieceEncoder:
     _ODD_MARK = re.compile(r"[.,]\s(?<![^\W_]..)", re.DOTALL)  # not after a letter or digit
     _kept: dict[str, PieceEncoder] = {}
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -195,8 +196,7 @@ def _framed(ids: list[np.ndarray], doc_ids: list[int | None]) -> tuple[bytes, np
     data = []
     for x, d in zip(ids, doc_ids, strict=True):
         width = 2 if len(x) == 0 or x.max() < 65536 else 4
-        head = np.array((width, d is not None, d or 0), _HEAD).tobytes()
-        data.append(head + x.astype(f"<u{width}").tobytes())
+        data.append(struct.pack("<BBq", width, d is not None, d or 0) + x.astype(f"<u{width}").tobytes())
     size = np.array([len(x) for x in data], np.int64)
     lengths = size.astype("<u8").tobytes()
     end = np.cumsum(size)
