@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import n_words, staged, table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_records import token_records
 from tidemark.llm.warc import warc_round_trip
@@ -154,3 +155,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256
 def op4(spark, sf_dir):
     """Every document without the 20-word windows that occur earlier."""
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(len(w), 5) - 1) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM l JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+r AS (SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a),
+m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""
+
+
+@_query("op2_ngram_join", OP2_SQL)
+def op2(spark, sf_dir):
+    """Every document's component of links at 80 % of 5-word shingles."""
+    return ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"))

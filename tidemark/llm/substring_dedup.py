@@ -99,7 +99,7 @@ def _removed_words(pairs: bytes, n: int, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int = 1_500_000, bucket_bytes: int = 24 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int = 1_000_000, bucket_bytes: int = 24 << 20) -> DataFrame:
     """``doc_id, version, spans``: the windows of each document that start
     earlier elsewhere, in one or more rows a document.  ``version`` is the
     CRC-32 of the text and tells apart different texts under one id."""
@@ -144,10 +144,10 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int =
             ref["doc_id"], ref["version"], ref["start"], ref["mini"] = runs.doc[head], version[runs.of[head]], runs.start[head], mini[head] & np.uint64(0xFFFFFFFF)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            zip_ = zstandard.ZstdCompressor(level=1)
+            zip_ = zstandard.ZstdCompressor(level=4)
             for i in np.flatnonzero(np.diff(edge)):
                 pick = order[edge[i]: edge[i + 1]]
-                block = len(pick).to_bytes(4, "little") + b"".join(ref[f][pick].tobytes() for f in _REF.names) + b"\n".join(
+                block = len(pick).to_bytes(4, "little") + b"".join(np.diff(ref[f][pick], prepend=ref[f].dtype.type(0)).tobytes() for f in _REF.names) + b"\n".join(
                     [packed[x:y] for x, y in zip(a[pick].tolist(), b[pick].tolist(), strict=True)])
                 for key, value in zip(out, (int(i), None, None, zip_.compress(block)), strict=True):
                     out[key].append(value)
@@ -162,7 +162,7 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int =
             ref = np.empty(n, _REF)
             for f in _REF.names:
                 width = _REF[f].itemsize
-                ref[f] = np.frombuffer(data, _REF[f], n, at)
+                ref[f] = np.cumsum(np.frombuffer(data, _REF[f], n, at), dtype=_REF[f])
                 at += n * width
             refs.append(ref)
             texts.append(data[at:])
