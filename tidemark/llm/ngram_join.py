@@ -8,16 +8,16 @@
     shingles of a set are its prefix; two sets that are 80 % alike share one of
     it.  Shingles of a single class come first in that order, so most texts have
     nothing left in their prefix and are done.
-4.  Classes with identical prefixes and size are one group.  Groups that share a
-    prefix shingle, and whose sizes and positions in the prefix allow the
-    overlap, are candidate pairs; the pairs are expanded to members, whose sets
+4.  Classes with identical prefixes and size are one group, and groups that
+    share a prefix shingle are joined.  Their pairs are expanded to members,
+    sifted by size, place in the prefix and a bitmap, and the sets of those left
     are intersected.
 
 Only components of links are asked for, so pairs known to be connected need no
-check.  The first round takes, per shingle and size class, the pairs of its
-first group with the others, and of each group's first member with the others
-(as many pairs as rows).  The second round takes every remaining candidate pair
-whose ends are still in different components.  No link is lost: after both, a
+check.  First each group is paired with one other that it shares many prefix
+shingles with (as many pairs as groups), again with others while that still
+finds links between components.  The last round takes every remaining candidate
+pair whose ends are in different components.  No link is lost: in the end, a
 pair of candidates is verified or already connected.
 """
 
@@ -26,17 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import staged, text_bytes
 from tidemark.llm.components import components
 from tidemark.llm.hashing import mixed, run_hashes, word_hashes
 
 SHINGLE = 5
+BITS = 2048  # of the bitmap by which candidates are sifted
 CLASS = 16  # bytes of a class: the 128-bit hash of its set
 
 
@@ -147,7 +150,8 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = 6 << 20, bucket_bytes: i
 def prefixes(shared: DataFrame) -> DataFrame:
     """``cls, n, own, keys, prefix, grp`` of the classes whose prefix holds a
     shared shingle: ``own`` shingles of no other class come first in the order,
-    then ``prefix``; ``grp`` is one for classes with equal prefix and size."""
+    then ``prefix``; ``grp`` is one for classes with equal prefix and size; ``bits``
+    is a bitmap of ``keys``."""
     by_class = shared.groupBy("cls").agg(F.first("n").alias("n"), F.flatten(F.collect_list("keys")).alias("keys"),
                                          F.flatten(F.collect_list("counts")).alias("counts"))
     need = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
@@ -155,14 +159,31 @@ def prefixes(shared: DataFrame) -> DataFrame:
     order = F.array_sort(F.zip_with("counts", "keys", lambda c, k: F.struct(c.alias("c"), k.alias("k"))))
     ranked = ranked.withColumn("prefix", F.transform(F.slice(order, F.lit(1), F.col("room")), lambda x: x["k"]))
     group = F.when(F.col("own") == 0, F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>"))))).otherwise(F.col("cls"))
-    return ranked.select("cls", "n", "own", "keys", "prefix", group.alias("grp"))
+    return ranked.select("cls", "n", "own", "keys", "prefix", group.alias("grp"), _bitmap("keys").alias("bits"))
 
 
-def _may_link(n1, own1, i1, n2, own2, i2):
-    """Whether two sets whose first common shingle stands at these places of
-    their prefixes can be 80 % alike."""
-    left = F.least(n1 - own1 - i1, n2 - own2 - i2)
-    return (F.least(n1, n2) * 5 >= F.greatest(n1, n2) * 4) & (left * 9 >= (n1 + n2) * 4)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bitmap(keys: pd.Series) -> pd.Series:
+    """Which of ``BITS`` remainders the keys have."""
+    def one(k):
+        bits = np.zeros(BITS // 64, np.uint64)
+        k = k.view(np.uint64) & np.uint64(BITS - 1)
+        np.bitwise_or.at(bits, k >> np.uint64(6), np.uint64(1) << (k & np.uint64(63)))
+        return bits.view(np.int64)
+
+    return keys.map(one)
+
+
+def _may_link(x: str, y: str):
+    """Whether two sets, of which ``i`` is the place of the first common
+    shingle in each prefix, can be 80 % alike: by their sizes, by what is left
+    after that place, and by the bits in which they differ, each of which is a
+    shared shingle that only one of them has."""
+    n1, n2 = F.col(f"{x}.n"), F.col(f"{y}.n")
+    s1, s2 = n1 - F.col(f"{x}.own"), n2 - F.col(f"{y}.own")
+    left = F.least(s1 - F.col(f"{x}.i"), s2 - F.col(f"{y}.i"))
+    differ = F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return (F.least(n1, n2) * 5 >= F.greatest(n1, n2) * 4) & (left * 9 >= (n1 + n2) * 4) & ((s1 + s2 - differ) * 9 >= (n1 + n2) * 8)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,40 +201,63 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
         "cls", "grp", F.coalesce("label", "cls").alias("comp"))
 
 
-def jaccard_links(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _most_met(met: DataFrame, turn: int) -> DataFrame:
+    """Of the pairs ``(rep, hub)``, for each ``rep`` the hub that it meets most often."""
+    counted = met.groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("m"))
+    return counted.groupBy("rep").agg(F.max_by("hub", F.struct("m", F.xxhash64("hub", F.lit(turn)))).alias("a")).select("a", F.col("rep").alias("b"))
+
+
+def _open(posted: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings of the shingles that stand in more than one component, a row
+    for each group and component; ``rep`` is a member of both."""
+    units = classes.groupBy("grp", "comp").agg(F.min("cls").alias("rep"))
+    near = posted.drop("rep").join(units, "grp")
+    apart = near.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
+    return near.join(apart, "key")
+
+
+def jaccard_links(shared: DataFrame, turns: int = 8) -> tuple[DataFrame, DataFrame]:
     """``(sets, links)``: the classes that can have links and, between them,
     links ``(a, b)`` that connect every component."""
     sets = staged(prefixes(shared), "sets")
+    size_class = F.floor(F.log(1.25, F.col("n").cast("double")))
     groups = sets.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix"))
     posted = staged(groups.select("grp", "rep", "n", "own", F.posexplode("prefix").alias("i", "key")), "postings")
 
-    # round 1: the first group of each shingle and size class, and of these the one met most often
-    sized = posted.withColumn("sc", F.floor(F.log(1.25, F.col("n").cast("double"))))
+    # first of each shingle and size class, and of these the one met most often; first of each group
+    sized = posted.withColumn("sc", size_class)
     hubs = sized.groupBy("key", "sc").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    met = sized.join(hubs, ["key", "sc"]).where("rep != hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("m"))
-    across = met.groupBy("rep").agg(F.max_by("hub", F.struct("m", "hub")).alias("a")).select("a", F.col("rep").alias("b"))
+    met = sized.join(hubs, ["key", "sc"]).where("rep != hub")
     inside = sets.join(groups.select("grp", F.col("rep").alias("a")), "grp").where("cls != a").select("a", F.col("cls").alias("b"))
-    tried = staged(across.union(inside), "tried")
-    links = staged(_verified(tried, sets), "links-1")
-
-    # round 2: all candidates between different components
+    tried = staged(_most_met(met, 0).union(inside), "tried")
+    links = staged(_verified(tried, sets), "links")
     classes = staged(_labelled(sets, links), "labelled")
-    units = classes.select("grp", "comp").distinct()
-    near = posted.drop("rep").join(units, "grp")
-    many = near.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("k"), F.max_by("comp", F.struct("m", "comp")).alias("main")).where("k > 1").drop("k")
-    near = staged(near.join(many, "key"), "open-postings")
-    x = near.where("comp != main").alias("x")
-    y = near.alias("y")
-    c = lambda t: (F.col(f"{t}.n"), F.col(f"{t}.own"), F.col(f"{t}.i"))
+
+    # the same with other members, between different components, while it still finds links
+    for turn in range(1, turns + 1):
+        near = _open(posted, classes).withColumn("sc", size_class)
+        hubs = near.groupBy("key", "sc").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("h"))
+        met = near.join(hubs, ["key", "sc"]).where("comp != h.comp").withColumn("hub", F.col("h.rep"))
+        pairs = staged(_most_met(met, turn), "pairs")
+        new = staged(_verified(pairs, sets), "links")
+        tried, links = tried.union(pairs), links.union(new)
+        n_pairs, n_new = pairs.count(), new.count()
+        if n_new:
+            classes = staged(_labelled(sets, links), "labelled")
+        if n_new * 20 < n_pairs or not n_new:
+            break
+
+    # all remaining candidates between different components, member by member
+    near = _open(posted, classes).drop("rep")
+    many = near.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+    members = classes.join(sets.select("cls", "bits"), "cls")
+    near = staged(near.join(many, "key").join(members, ["grp", "comp"]), "open-postings")
+    x, y = near.where("comp != main").alias("x"), near.alias("y")
     ahead = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
-    found = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.comp") != F.col("y.comp")) & ahead & _may_link(*c("x"), *c("y")))
-    found = found.select(F.col("x.grp").alias("gx"), F.col("x.comp").alias("cx"), F.col("y.grp").alias("gy"), F.col("y.comp").alias("cy")).distinct()
-    of = lambda g, k, n: classes.select(F.col("grp").alias(g), F.col("comp").alias(k), F.col("cls").alias(n))
-    pairs = found.join(of("gx", "cx", "a"), ["gx", "cx"]).join(of("gy", "cy", "b"), ["gy", "cy"])
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.comp") != F.col("y.comp")) & ahead & _may_link("x", "y"))
+    pairs = found.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return sets, links.union(staged(_verified(pairs.join(known, ["a", "b"], "left_anti"), sets), "links-2"))
+    return sets, links.union(staged(_verified(pairs.join(known, ["a", "b"], "left_anti"), sets), "links"))
 
 
 def ngram_components(docs: DataFrame, **sizes: int) -> DataFrame:
