@@ -15,6 +15,8 @@ from tidemark.llm.common import n_words, staged, table
 from tidemark.llm.decontaminate import contamination
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_components
+from tidemark.llm.quality import quality
+from tidemark.llm.secrets import secret_scan
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_records import token_records
 from tidemark.llm.warc import warc_round_trip
@@ -176,3 +178,16 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d LEFT
 def op2(spark, sf_dir):
     """Every document's component of links at 80 % of 5-word shingles."""
     return ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query("op5_quality")
+def op5(spark, sf_dir):
+    """Every document's statistics and the verdict of the quality rules."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op9_secrets")
+def op9(spark, sf_dir):
+    """Every document's secrets."""
+    return secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
