@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import n_words, staged, table
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.quality import quality
+from tidemark.llm.quotations import reply_links
 from tidemark.llm.secrets import secret_scan
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_records import token_records
@@ -191,3 +193,17 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     """Every document's secrets."""
     return secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@_query("op6_quotations")
+def op6(spark, sf_dir):
+    """Every message without quotes, with what it answers."""
+    found = reply_links(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quoted", "depth", "n_linked", "reply_conv", "reply_turn", "thread")
+
+
+@_query("op10_line_dedup")
+def op10(spark, sf_dir):
+    """Every document's lines that equal, or nearly equal, an earlier line."""
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("removed", 256).alias("removed_sha256"))
