@@ -35,7 +35,11 @@ def _lines(docs: DataFrame, least_words: int) -> DataFrame:
     more or less has at its middle."""
     out = docs.select(F.coalesce("doc_id", F.lit(NULL_LAST)).alias("doc"), F.xxhash64("text").alias("version"),
                       F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    out = out.withColumn("line", F.regexp_replace(F.btrim("line", F.lit(WHITE)), r"[\x20\x09-\x0D]+", " ")).where("line <> ''")
+    odd_space = F.contains(F.col("line"), F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd_space = odd_space | F.contains(F.col("line"), F.lit(c))
+    out = out.withColumn("line", F.btrim("line", F.lit(WHITE))).where("line <> ''")
+    out = out.withColumn("line", F.when(odd_space, F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")).otherwise(F.col("line")))
     out = out.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
     j = F.floor(F.col("n") / 2).cast("int")
     half = lambda count: F.xxhash64(F.call_function("substring_index", "line", F.lit(" "), count), count)
@@ -78,14 +82,15 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     shared = half.groupBy("half").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").select("half")
     alive = half.join(shared, "half").select("k").distinct()
     first = staged(lines.join(alive, "k").groupBy("k").agg(F.min(F.struct("doc", "line_no", "version")).alias("at")), "alive")
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text").distinct()
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_LAST)).alias("doc"), F.xxhash64("text").alias("version"), "text")
     held = first.groupBy(F.col("at.doc").alias("doc"), F.col("at.version").alias("version")).agg(
         F.collect_list(F.struct("at.line_no", "k")).alias("want"))
     held = texts.join(held, ["doc", "version"]).select("doc", F.explode(let(F.split("text", "\n"), lambda ls: F.transform("want", lambda w: F.struct(
         w["line_no"].alias("line_no"), w["k"].alias("k"), F.get(ls, w["line_no"]).alias("line"))))).alias("l"))
-    ws = F.transform(F.split(F.btrim("l.line", F.lit(WHITE)), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
-    held = staged(held.select(F.struct("doc", "l.line_no").alias("at"), "l.k", ws.alias("ws")), "alive-words")
-    keyed = held.select("at", "k", F.explode(_variants(F.col("ws"))).alias("key"))
+    ws = F.transform(F.split(F.btrim("line", F.lit(WHITE)), r"[\x20\x09-\x0D]+"), lambda w: F.xxhash64(w))
+    held = held.select("doc", "l.*").groupBy("doc", "line_no", "k").agg(F.first("line").alias("line"))  # repeated rows hold it more than once
+    held = staged(held.select(F.struct("doc", "line_no").alias("at"), "k", ws.alias("ws")), "alive-words")
+    keyed = staged(held.select("at", "k", F.explode(_variants(F.col("ws"))).alias("key")), "variants")
     least = keyed.groupBy("key").agg(F.min(F.struct("at", "k")).alias("m"), F.max("k").alias("b"), F.min("k").alias("a")).where("a <> b").select("key", "m")
     met = keyed.join(least, "key").where("m.at < at").groupBy("k").agg(F.min("m").alias("m"))
     x = held.select("k", F.col("ws").alias("wx"))
@@ -106,15 +111,16 @@ def line_dedup(docs: DataFrame, least_words: int = 8) -> DataFrame:
       of which is earlier; each row gets the same result;
     * an empty table gives an empty result; other columns are not read.
     """
-    lines = staged(_lines(docs.select("doc_id", "text").distinct(), least_words), "lines")
+    lines = staged(_lines(docs, least_words), "lines")
     near = staged(near_lines(docs, lines), "near")
     first = lines.groupBy("k", "k2").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     at = F.struct("doc", "line_no")
     judged = lines.select("doc", "version", "line_no", "k", "k2").join(first, ["k", "k2"], "left").join(near, "k", "left")
     equal, alike = F.coalesce(F.col("first") < at, F.lit(False)), F.coalesce(F.col("near") < at, F.lit(False))
     counts = judged.groupBy(F.col("doc").alias("_d"), F.col("version").alias("_v")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(equal).alias("n_equal"), F.count_if(alike & ~equal).alias("n_near"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(equal | alike, F.col("line_no")))), lambda x: x.cast("string")), ",").alias("removed"))
+        *[F.collect_set(F.when(c, F.col("line_no"))).alias(name) for name, c in (("_all", F.lit(True)), ("_equal", equal), ("_near", alike & ~equal))])
+    counts = counts.select("_d", "_v", *[F.size(f"_{x}").alias(f"n_{y}") for x, y in (("all", "lines"), ("equal", "equal"), ("near", "near"))],
+                           F.array_join(F.transform(F.array_sort(F.concat("_equal", "_near")), lambda x: x.cast("string")), ",").alias("removed"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.coalesce("doc_id", F.lit(NULL_LAST)).alias("_d0"))
     met = rows.join(counts, (F.col("_d0") == F.col("_d")) & (F.col("version") == F.col("_v")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
