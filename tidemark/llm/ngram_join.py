@@ -75,7 +75,7 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list,
     yield ids, texts
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
+FOUND = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("part", pa.int64()), ("block", pa.binary())])
 
 
 def _pairs_of(name: np.ndarray) -> np.ndarray:
@@ -83,11 +83,13 @@ def _pairs_of(name: np.ndarray) -> np.ndarray:
     return name.view([("a", "<u8"), ("b", "<u8")])
 
 
-def shared_shingles(docs: DataFrame, chunk_bytes: int = 6 << 20, bucket_bytes: int = 24 << 20) -> DataFrame:
-    """Two kinds of rows ``doc_id, cls, n, keys, counts``.  With ``keys`` null:
-    the class and set size of one row of ``docs`` (without words: null and 0).
-    Else: those shingles of a class, in one bucket, that other classes have
-    too, and how many classes have each."""
+def shared_shingles(docs: DataFrame, chunk_bytes: int = 6 << 20, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
+    """``(members, shared)``.  ``members``: ``doc_id, cls, n``, the class and set
+    size of each row of ``docs`` (without words: null and 0).  ``shared``:
+    ``cls, n, keys, counts``, the shingles of a class that other classes have
+    too, and how many classes have each, for classes whose prefix holds some.
+
+    Both ways between classes and buckets, shingles travel in packed blocks."""
     buckets = max(1, -(-text_bytes(docs) // bucket_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,7 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = 6 << 20, bucket_bytes: i
 
     def count(rows: pa.Table) -> pa.Table:
         plain = rows.filter(pc.is_null(rows.column("block")))
-        plain = pa.Table.from_arrays([*(plain.column(c) for c in ("doc_id", "cls", "n")), *(pa.nulls(len(plain), FOUND.field(c).type) for c in ("keys", "counts"))], schema=FOUND)
+        plain = pa.Table.from_arrays([*(plain.column(c) for c in ("doc_id", "cls", "n")), *(pa.nulls(len(plain), FOUND.field(c).type) for c in ("part", "block"))], schema=FOUND)
         blocks = [(n, b) for n, b in zip(rows.column("n").to_pylist(), rows.column("block").to_pylist(), strict=True) if b is not None]
         if not blocks:
             return plain
@@ -136,15 +138,53 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = 6 << 20, bucket_bytes: i
         of, keys, counts = of[order[both]], ranked[both], counts[both]
         order = np.argsort(of, kind="stable")
         of, keys, counts = of[order], keys[order], counts[order]
-        cut_at = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
-        at = first[of[cut_at]]
-        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.append(cut_at, len(of)).astype(np.int32)), pa.array(x.astype(kind)))
-        shared = pa.Table.from_arrays([pa.nulls(len(at), pa.int64()), pa.array([name[i].tobytes() for i in at], pa.binary()), pa.array(size[at].astype(np.int32)),
-                                       lists(keys.view(np.int64), np.int64), lists(counts, np.int32)], schema=FOUND)
+        names = name[first]
+        part = (_pairs_of(names)["a"] % np.uint64(buckets)).astype(np.int64)
+        to = part[of]
+        order = np.argsort(to, kind="stable")
+        of, keys, counts, to = of[order], keys[order], counts[order].astype("<u4"), to[order]
+        edge = np.searchsorted(to, np.arange(buckets + 1))
+        made = []
+        for p in np.flatnonzero(np.diff(edge)):
+            mine = slice(edge[p], edge[p + 1])
+            who, number = np.unique(of[mine], return_counts=True)
+            made.append((len(who), int(p), names[who].tobytes() + size[first[who]].astype("<u4").tobytes() + number.astype("<u4").tobytes()
+                         + counts[mine].tobytes() + keys[mine].tobytes()))
+        columns = list(zip(*made, strict=True)) or [[], [], []]
+        shared = pa.Table.from_arrays([pa.nulls(len(made), pa.int64()), pa.nulls(len(made), pa.binary()), pa.array(columns[0], pa.int32()),
+                                       pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], schema=FOUND)
         return pa.concat_tables([plain, shared])
 
+    def gather(rows: pa.Table) -> pa.Table:
+        """The shared shingles of each class of one part, from all buckets."""
+        name, size, number, counts, keys = [], [], [], [], []
+        for n, block in zip(rows.column("n").to_pylist(), rows.column("block").to_pylist(), strict=True):
+            name.append(np.frombuffer(block, f"V{CLASS}", n))
+            size.append(np.frombuffer(block, "<u4", n, CLASS * n))
+            number.append(np.frombuffer(block, "<u4", n, (CLASS + 4) * n))
+            total, at = int(number[-1].sum()), (CLASS + 8) * n
+            counts.append(np.frombuffer(block, "<u4", total, at))
+            keys.append(np.frombuffer(block, "<i8", total, at + 4 * total))
+        name, size, number, counts, keys = (np.concatenate(x) for x in (name, size, number, counts, keys))
+        _, first, which = np.unique(_pairs_of(name), return_index=True, return_inverse=True)
+        of = np.repeat(which.reshape(-1), number)
+        n = size[first].astype(np.int64)
+        room = n - (4 * n + 4) // 5 + 1 - (n - np.bincount(of, minlength=len(n)))  # of the prefix, for shared shingles
+        live = (room > 0)[of]
+        of, keys, counts = of[live], keys[live], counts[live]
+        order = np.argsort(of, kind="stable")
+        of, keys, counts = of[order], keys[order], counts[order]
+        head = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+        at, edges = first[of[head]], pa.array(np.append(head, len(of)).astype(np.int32))
+        return pa.Table.from_arrays([pa.array([name[i].tobytes() for i in at], pa.binary()), pa.array(size[at].astype(np.int32)),
+                                     pa.ListArray.from_arrays(edges, pa.array(keys)), pa.ListArray.from_arrays(edges, pa.array(counts.astype(np.int32)))],
+                                    names=["cls", "n", "keys", "counts"])
+
     cuts = docs.select("doc_id", "text").mapInArrow(cut, "bucket long, doc_id long, cls binary, n int, block binary")
-    return cuts.groupBy("bucket").applyInArrow(count, "doc_id long, cls binary, n int, keys array<bigint>, counts array<int>")
+    found = staged(cuts.groupBy("bucket").applyInArrow(count, "doc_id long, cls binary, n int, part long, block binary"), "shingles")
+    shared = found.where("block IS NOT NULL").select("part", "n", "block").groupBy("part").applyInArrow(
+        gather, "cls binary, n int, keys array<bigint>, counts array<int>")
+    return found.where("block IS NULL").select("doc_id", "cls", "n"), shared
 
 
 def prefixes(shared: DataFrame) -> DataFrame:
@@ -152,10 +192,8 @@ def prefixes(shared: DataFrame) -> DataFrame:
     shared shingle: ``own`` shingles of no other class come first in the order,
     then ``prefix``; ``grp`` is one for classes with equal prefix and size; ``bits``
     is a bitmap of ``keys``."""
-    by_class = shared.groupBy("cls").agg(F.first("n").alias("n"), F.flatten(F.collect_list("keys")).alias("keys"),
-                                         F.flatten(F.collect_list("counts")).alias("counts"))
     need = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    ranked = by_class.withColumn("own", F.col("n") - F.size("keys")).withColumn("room", need - F.col("own")).where("room > 0")
+    ranked = shared.withColumn("own", F.col("n") - F.size("keys")).withColumn("room", need - F.col("own")).where("room > 0")
     order = F.array_sort(F.zip_with("counts", "keys", lambda c, k: F.struct(c.alias("c"), k.alias("k"))))
     ranked = ranked.withColumn("prefix", F.transform(F.slice(order, F.lit(1), F.col("room")), lambda x: x["k"]))
     group = F.when(F.col("own") == 0, F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>"))))).otherwise(F.col("cls"))
@@ -270,9 +308,8 @@ def ngram_components(docs: DataFrame, **sizes: int) -> DataFrame:
       part in links, and is a component_id only where no other id is reached;
     * an empty table gives an empty result; other columns are not read.
     """
-    found = staged(shared_shingles(docs, **sizes), "shingles")
-    rows = found.where("keys IS NULL").select("doc_id", "cls", "n")
-    _, links = jaccard_links(found.where("keys IS NOT NULL").drop("doc_id"))
+    rows, shared = shared_shingles(docs, **sizes)
+    _, links = jaccard_links(shared)
     first = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = first.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import struct
+import threading
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -116,6 +117,7 @@ class PieceEncoder:
     _WHOLE = re.compile(r"\s (?:\s|\Z)|\x01")
     _ODD_MARK = re.compile(r"[.,]\s(?<![^\W_]..)", re.DOTALL)  # not after a letter or digit
     _kept: dict[str, PieceEncoder] = {}
+    _uses = 0
 
     def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
@@ -126,11 +128,21 @@ class PieceEncoder:
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
-        """One per Python worker, so that tasks share what is kept."""
+        """One per Python worker, so that tasks share what is kept; given up
+        some seconds after its last use, so that later jobs have the memory."""
         if path not in cls._kept:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    @classmethod
+    def rest(cls, seconds: float = 6.0) -> None:
+        """Give up what is kept unless it is used again within ``seconds``."""
+        cls._uses += 1
+        now = cls._uses
+        timer = threading.Timer(seconds, lambda: cls._kept.clear() if cls._uses == now else None)
+        timer.daemon = True
+        timer.start()
+
     def _learn(self, pieces: list[str], first: int) -> None:
         """Encode pieces met for the first time, numbered from ``first``."""
         if not pieces:
@@ -220,6 +232,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
+        PieceEncoder._uses += 1
         part, attempt, encoder, rows, out = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], PieceEncoder.of(tokenizer), [], None
 
         def close():
@@ -242,6 +255,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
                 out = None
         if out is not None:
             close()
+        PieceEncoder.rest()
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), (
             "index_path", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64())]))
 
