@@ -83,6 +83,14 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Sets the session's Arrow batches to few rows: ours hold whole texts, and
+    a batch is in memory several times over (executor and Python)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; sizes the number of buckets, never the result."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

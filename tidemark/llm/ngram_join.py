@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged, text_bytes
+from tidemark.llm.common import small_batches, staged, text_bytes
 from tidemark.llm.components import components
 from tidemark.llm.hashing import mixed, run_hashes, word_hashes
 
@@ -83,13 +83,14 @@ def _pairs_of(name: np.ndarray) -> np.ndarray:
     return name.view([("a", "<u8"), ("b", "<u8")])
 
 
-def shared_shingles(docs: DataFrame, chunk_bytes: int = 6 << 20, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
+def shared_shingles(docs: DataFrame, chunk_bytes: int = 3 << 20, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """``(members, shared)``.  ``members``: ``doc_id, cls, n``, the class and set
     size of each row of ``docs`` (without words: null and 0).  ``shared``:
     ``cls, n, keys, counts``, the shingles of a class that other classes have
     too, and how many classes have each, for classes whose prefix holds some.
 
     Both ways between classes and buckets, shingles travel in packed blocks."""
+    small_batches(docs.sparkSession)
     buckets = max(1, -(-text_bytes(docs) // bucket_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_bytes
+from tidemark.llm.common import small_batches, text_bytes
 from tidemark.llm.hashing import mixed, run_hashes, sliding_min, word_hashes
 
 K, M = 20, 4
@@ -99,10 +99,11 @@ def _removed_words(pairs: bytes, n: int, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int = 1_000_000, bucket_bytes: int = 24 << 20) -> DataFrame:
+def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int = 700_000, bucket_bytes: int = 24 << 20) -> DataFrame:
     """``doc_id, version, spans``: the windows of each document that start
     earlier elsewhere, in one or more rows a document.  ``version`` is the
     CRC-32 of the text and tells apart different texts under one id."""
+    small_batches(docs.sparkSession)
     buckets = max(1, -(-3 * text_bytes(docs) // bucket_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

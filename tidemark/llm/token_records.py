@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filesystem, scratch_path, staged
+from tidemark.llm.common import filesystem, scratch_path, small_batches, staged
 
 MANIFEST = "part int, seq int, path string, index_path string, n_records long, n_tokens long"
 _HEAD = np.dtype([("width", "u1"), ("has_id", "u1"), ("doc_id", "<i8")])
@@ -259,6 +259,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), (
             "index_path", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64())]))
 
+    small_batches(docs.sparkSession)
     order = F.col("doc_id").asc_nulls_last()
     ranged = docs.select("doc_id", "text").repartitionByRange(order).sortWithinPartitions(order, F.xxhash64("text"))
     return staged(ranged.mapInArrow(write, MANIFEST), "token-manifest")
@@ -266,8 +267,8 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
 
 def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list[str]]]:
     """Documents in groups of about ``most`` characters."""
+    ids, texts, size = [], [], 0
     for batch in batches:
-        ids, texts, size = [], [], 0
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids.append(d)
             texts.append(t.as_py() or "")
@@ -275,8 +276,8 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list
             if size >= most:
                 yield ids, texts
                 ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+    if ids:
+        yield ids, texts
 
 
 def read_token_records(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
