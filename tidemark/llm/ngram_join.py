@@ -255,7 +255,7 @@ def _open(posted: DataFrame, classes: DataFrame) -> DataFrame:
     return near.join(apart, "key")
 
 
-def jaccard_links(shared: DataFrame, turns: int = 8) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(shared: DataFrame, turns: int = 4) -> tuple[DataFrame, DataFrame]:
     """``(sets, links)``: the classes that can have links and, between them,
     links ``(a, b)`` that connect every component."""
     sets = staged(prefixes(shared), "sets")
@@ -274,9 +274,11 @@ def jaccard_links(shared: DataFrame, turns: int = 8) -> tuple[DataFrame, DataFra
 
     # the same with other members, between different components, while it still finds links
     for turn in range(1, turns + 1):
-        near = _open(posted, classes).withColumn("sc", size_class)
-        hubs = near.groupBy("key", "sc").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("h"))
-        met = near.join(hubs, ["key", "sc"]).where("comp != h.comp").withColumn("hub", F.col("h.rep"))
+        units = classes.groupBy("grp", "comp").agg(F.min("cls").alias("rep"))
+        near = posted.select("key", "grp", size_class.alias("sc")).join(units, "grp").drop("grp")
+        hubs = near.groupBy("key", "sc").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(
+            F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("h")).where("c0 <> c1").select("key", "sc", "h")
+        met = near.join(hubs, ["key", "sc"]).where("comp <> h.comp").select("rep", F.col("h.rep").alias("hub"))
         pairs = staged(_most_met(met, turn), "pairs")
         new = staged(_verified(pairs, sets), "links")
         tried, links = tried.union(pairs), links.union(new)
