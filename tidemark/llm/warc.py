@@ -99,7 +99,7 @@ def write_warc(rows: DataFrame, folder: str, file_bytes: int = 128 << 20, sample
             opening = _header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>"),
                                ("WARC-Date", DATE), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info))]) + info + b"\r\n\r\n"
             n = 0
-            with fs.open_output_stream(path) as out:
+            with fs.open_output_stream(path, compression=None) as out:
                 out.write(struct.pack("<II", SKIPPABLE, len(packed)) + packed)
                 out.write(packer.compress(opening))
                 for x in first:
@@ -154,7 +154,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
         for path in (p for b in batches for p in b.column("path").to_pylist()):
             fs, path = filesystem(path)
             rows, size = [], 0
-            with fs.open_input_stream(path) as f:
+            with fs.open_input_stream(path, compression=None) as f:
                 for head, block in records(f):
                     if head["WARC-Type"] == "warcinfo":
                         continue
