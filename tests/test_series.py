@@ -98,3 +98,20 @@ def test_sign_runs_open_run(spark):
     # runs: [+,+] [-,-,0] [+,+,+ open] -> the open run is left out
     assert list(runs["length"]) == [2, 3]
     assert list(runs["positive"]) == [True, False]
+
+
+def test_null_key_and_order_rows_stay(spark):
+    """Rows with a null key or order value keep their place and their carry."""
+    from tidemark.operators.series import SeriesSpec, prefix_sum, with_row_index
+
+    rows = [(None, i, 1.0) for i in range(10)] + [("a", i, 2.0) for i in range(10)] + [("a", None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    spec = SeriesSpec(order="t", key="k", block_rows=3)
+    ri = with_row_index(df, spec, "ri").collect()
+    assert len(ri) == 21
+    assert sorted(r.ri for r in ri if r.k is None) == list(range(10))
+    assert sorted(r.ri for r in ri if r.k == "a") == list(range(11)) and [r.ri for r in ri if r.t is None] == [0]
+    from pyspark.sql import functions as F
+
+    got = {r.t: r.s for r in prefix_sum(df, spec, {"s": F.col("x")}).collect() if r.k is None}
+    assert got == {i: float(i + 1) for i in range(10)}

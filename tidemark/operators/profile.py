@@ -173,7 +173,7 @@ def qq_grid(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
     rows = [(float(p), nd.inv_cdf(p)) for p in probs]
     grid = df.sparkSession.createDataFrame(rows, "p double, theoretical double")
     g = grid.withColumn("__k", F.row_number().over(Window.orderBy("p")) - 1)  # len(probs) rows
-    return g.crossJoin(st).select("p", "theoretical", ((F.col("__q")[F.col("__k")] - F.col("__m")) / F.col("__s"))
+    return g.crossJoin(st).select("p", "theoretical", F.try_divide(F.col("__q")[F.col("__k")] - F.col("__m"), F.col("__s"))
                                   .alias("sample"))
 
 
@@ -184,7 +184,7 @@ def outliers(df: DataFrame, cols: Sequence[str], method: str = "z", z: float = 3
     if method == "z":
         st = df.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
         d = df.crossJoin(F.broadcast(st))
-        flags = {c: F.abs(F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") > lit_d(z) for c in cols}
+        flags = {c: F.try_divide(F.abs(F.col(c) - F.col(f"m_{c}")), F.col(f"s_{c}")) > lit_d(z) for c in cols}
     elif method == "iqr":
         st = df.agg(*[F.percentile(c, [0.25, 0.75]).alias(f"q_{c}") for c in cols])
         d = df.crossJoin(F.broadcast(st))

@@ -54,7 +54,8 @@ def mutual_info_scores(df: DataFrame, cols: Sequence[str], target: str, bins: in
     joint = joint.select("column", "nxy", F.sum("nxy").over(wc).alias("n"),
                          F.sum("nxy").over(wc.partitionBy("column", "bx")).alias("nx"),
                          F.sum("nxy").over(wc.partitionBy("column", "by")).alias("ny"))
-    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    nxy, n, nx, ny = (F.col(c).cast("double") for c in ("nxy", "n", "nx", "ny"))  # products of counts pass the BIGINT range
+    term = nxy / n * F.log(nxy * n / (nx * ny))
     return joint.groupBy("column").agg(F.sum(term).alias("mutual_info"))
 
 

@@ -95,6 +95,18 @@ def order_number(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+def null_safe_join(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on ``on`` in which a null key or block meets its own row, so
+    rows with a null key or order value are neither lost nor cut off from
+    earlier blocks."""
+    table = table.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in table.columns])
+    cond = None
+    for c in on:
+        same = df[c].eqNullSafe(table[f"_on_{c}"])
+        cond = same if cond is None else cond & same
+    return df.join(table, cond, "left").drop(*[f"_on_{c}" for c in on])
+
+
 def with_row_index(df: DataFrame, spec: SeriesSpec, name: str = RI) -> DataFrame:
     """Add the 0-based position of each row inside its series.
 
@@ -103,6 +115,7 @@ def with_row_index(df: DataFrame, spec: SeriesSpec, name: str = RI) -> DataFrame
     ``row_number`` inside ``(key, block)`` gives the rest.  The width is chosen
     so a block holds about ``block_rows`` rows of the densest series, which
     keeps every task bounded even when one key owns a third of the table.
+    Null order values come first in their series, as one block.
     """
     if spec.index is not None and spec.index in df.columns:
         return df.withColumn(name, F.col(spec.index).cast("long"))
@@ -126,7 +139,7 @@ def with_row_index(df: DataFrame, spec: SeriesSpec, name: str = RI) -> DataFrame
     if not keys and n_blocks_bound is not None and n_blocks_bound <= spec.max_broadcast_blocks:
         # one row per coarse block, bounded by construction above
         offs = F.broadcast(offs)
-    d = d.join(offs, [*keys, "_cb"], "inner")
+    d = null_safe_join(d, offs, [*keys, "_cb"])
     w = Window.partitionBy(*keys, "_cb").orderBy(*spec.ordering())
     return d.withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop("_cb", "_off")
 
@@ -176,7 +189,7 @@ def windowed(
 def _block_table_join(d: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     # carry has one row per (key, block); AQE turns this into a broadcast
     # join at run time when the measured table is small
-    return d.join(carry, [*keys, "_blk"], "left")
+    return null_safe_join(d, carry, [*keys, "_blk"])
 
 
 def prefix_sum(df: DataFrame, spec: SeriesSpec, cols: dict[str, Column]) -> DataFrame:

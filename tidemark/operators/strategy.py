@@ -180,7 +180,7 @@ def vol_strategy(df: DataFrame, spec: SeriesSpec, ret: str, n: int = 20, lag_inp
     d = d.filter(F.col("rolling_vol").isNotNull())
     st = d.agg(F.avg("rolling_vol").alias("__vm"), F.stddev_samp("rolling_vol").alias("__vs"))
     d = d.crossJoin(F.broadcast(st))  # one row
-    z = (F.col("rolling_vol") - F.col("__vm")) / F.col("__vs")
+    z = F.try_divide(F.col("rolling_vol") - F.col("__vm"), F.col("__vs"))
     return d.withColumn(out, clip(lit_d(1.5) - lit_d(0.5) * z, 0.2, 2.0)).drop("__src", "__vm", "__vs")
 
 

@@ -180,7 +180,7 @@ def fold_metrics(spark, sf_dir):
 
 
 _LB_SQL = with_(DAILY_MARKET, """
-t AS (SELECT date_id, f.range AS fold FROM daily_market, range(0, 20) f
+t AS (SELECT date_id, f.range AS fold FROM daily_market, (SELECT UNNEST(range(0, MAX(date_id) // 50 + 1)) AS range FROM daily_market) f
       WHERE date_id BETWEEN 1000 + f.range * 50 - 250 AND 1000 + f.range * 50
         AND 1000 + f.range * 50 <= (SELECT MAX(date_id) FROM daily_market))""") + """
 SELECT fold, CASE WHEN date_id = 1000 + fold * 50 THEN 'test' ELSE 'train' END AS role, COUNT(*) AS rows,
@@ -190,9 +190,8 @@ SELECT fold, CASE WHEN date_id = 1000 + fold * 50 THEN 'test' ELSE 'train' END A
 @query("walk_lookback", _LB_SQL)
 def walk_lookback(spark, sf_dir):
     """Rolling-lookback walk-forward (250 rows back, a fold every 50 rows
-    from row 1000, first 20 folds) (V4)."""
+    from row 1000) (V4)."""
     j = V.walk_lookback(daily_market(spark, sf_dir).select("date_id"), DAILY, 250, 1000, 50)
-    j = j.filter(F.col("fold") < 20)
     return j.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("date_id").alias("first"),
                                          F.max("date_id").alias("last"))
 

@@ -45,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     conf = spark.conf.get("spark.checkpoint.dir", None)
     target = conf or fallback
     if target is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         target = tempfile.mkdtemp(prefix="tidemark-ckpt-")
