@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,18 +70,19 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list,
             ids.append(d)
             texts.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
             size += len(texts[-1])
-            if size >= most:
+            if size >= most or len(ids) == 1 << PLACE:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     yield ids, texts
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("part", pa.int64()), ("block", pa.binary())])
+PLACE = 16  # bits of the place of a class in its chunk
+FOUND = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("block", pa.binary())])
 
 
-def _pairs_of(name: np.ndarray) -> np.ndarray:
-    """Class names as pairs of numbers, which numpy can sort."""
-    return name.view([("a", "<u8"), ("b", "<u8")])
+def _heads(of: np.ndarray) -> np.ndarray:
+    """Where a run of equal entries begins."""
+    return np.append(True, of[1:] != of[:-1]) if len(of) else np.empty(0, bool)
 
 
 def shared_shingles(docs: DataFrame, chunk_bytes: int = 3 << 20, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
@@ -89,15 +91,20 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = 3 << 20, bucket_bytes: i
     ``cls, n, keys, counts``, the shingles of a class that other classes have
     too, and how many classes have each, for classes whose prefix holds some.
 
-    Both ways between classes and buckets, shingles travel in packed blocks."""
+    Both ways between chunks of texts and buckets, shingles travel in packed
+    blocks.  The 16-byte names of classes stay with their chunk: a bucket knows
+    a class by its place in the chunk and tells classes of different chunks
+    apart by 48 more bits of the name, compared only at an equal shingle.  So a
+    shingle costs about as much however many buckets there are."""
     small_batches(docs.sparkSession)
     buckets = max(1, -(-text_bytes(docs) // bucket_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches, chunk_bytes):
+        task = TaskContext.get().partitionId() << 32
+        for chunk, (ids, texts) in enumerate(_texts(batches, chunk_bytes), task):
             sets = shingle_sets(texts)
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            rows = {"bucket": [i % buckets for i in range(len(ids))], "doc_id": ids, "cls": names, "n": [len(s) for s in sets], "block": [None] * len(ids)}
+            rows = [(i % buckets, d, c, len(s), None, None, None) for i, (d, c, s) in enumerate(zip(ids, names, sets, strict=True))]
             own = {c: s for c, s in zip(names, sets, strict=True) if c is not None}
             if own:
                 size = np.fromiter(map(len, own.values()), np.int64, len(own))
@@ -105,87 +112,80 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = 3 << 20, bucket_bytes: i
                 bucket = ((keys >> np.uint64(17)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                name = np.frombuffer(b"".join(own), f"V{CLASS}")
+                joined = b"".join(own)
+                mark = np.frombuffer(joined, "<u8")[::2] >> np.uint64(PLACE) << np.uint64(PLACE) | np.arange(len(own), dtype=np.uint64)
+                rows.append((chunk % buckets, None, None, len(own), chunk, joined + size.astype("<u4").tobytes(), None))
                 for i in np.flatnonzero(np.diff(edge)):
                     pick = order[edge[i]: edge[i + 1]]
-                    who, number = np.unique(of[pick], return_counts=True)
-                    block = name[who].tobytes() + number.astype("<u4").tobytes() + size[who].astype("<u4").tobytes() + keys[pick].tobytes()
-                    for c, v in zip(rows.values(), (int(i), None, None, len(who), block), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("block", pa.binary())]))
+                    head = _heads(of[pick])
+                    who = mark[of[pick][head]]
+                    rows.append((int(i), None, None, len(who), chunk, None, who.tobytes() + keys[pick].tobytes() + np.packbits(head).tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *FOUND.types], strict=True)], names=["bucket", *FOUND.names])
 
     def count(rows: pa.Table) -> pa.Table:
-        plain = rows.filter(pc.is_null(rows.column("block")))
-        plain = pa.Table.from_arrays([*(plain.column(c) for c in ("doc_id", "cls", "n")), *(pa.nulls(len(plain), FOUND.field(c).type) for c in ("part", "block"))], schema=FOUND)
-        blocks = [(n, b) for n, b in zip(rows.column("n").to_pylist(), rows.column("block").to_pylist(), strict=True) if b is not None]
-        if not blocks:
-            return plain
-        name = np.concatenate([np.frombuffer(b, f"V{CLASS}", n) for n, b in blocks])
-        number = np.concatenate([np.frombuffer(b, "<u4", n, CLASS * n) for n, b in blocks])
-        size = np.concatenate([np.frombuffer(b, "<u4", n, (CLASS + 4) * n) for n, b in blocks])
-        keys = np.concatenate([np.frombuffer(b, "<u8", -1, (CLASS + 8) * n) for n, b in blocks])
-        del blocks
-        _, first, which = np.unique(_pairs_of(name), return_index=True, return_inverse=True)
-        once = np.zeros(len(name), bool)
-        once[first] = True  # a class that several chunks sent counts once
-        live = np.repeat(once, number)
-        of, keys = np.repeat(which.reshape(-1).astype(np.int32), number)[live], keys[live]
+        rest = rows.filter(pc.is_null(rows.column("block"))).select(FOUND.names).cast(FOUND)
+        rows = rows.filter(pc.is_valid(rows.column("block")))
+        if not len(rows):
+            return rest
+        marks, keys, chunks = [], [], []
+        for n, chunk, block in zip(*(rows.column(c).to_pylist() for c in ("n", "chunk", "block")), strict=True):
+            k = (len(block) - 8 * n) * 8 // 65  # eight bytes and a bit each
+            keys.append(np.frombuffer(block, "<u8", k, 8 * n))
+            head = np.unpackbits(np.frombuffer(block, "u1", -1, 8 * (n + k)), count=k)
+            marks.append(np.frombuffer(block, "<u8", n)[np.cumsum(head, dtype=np.int64) - 1])
+            chunks.append(np.full(k, chunk))
+        keys, marks, chunks = np.concatenate(keys), np.concatenate(marks), np.concatenate(chunks)
         order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        counts = np.diff(np.append(head, len(ranked)))
+        head = _heads(keys[order])
+        order = order[~head | ~np.append(head[1:], True)]  # keys of two or more
+        keys, marks, chunks = keys[order], marks[order], chunks[order]
+        order = np.lexsort((chunks, marks >> np.uint64(PLACE), keys))
+        keys, marks, chunks = keys[order], marks[order], chunks[order]
+        first = _heads(keys) | _heads(marks >> np.uint64(PLACE))  # a class counts once, and its first chunk gets the answer
+        keys, marks, chunks = keys[first], marks[first], chunks[first]
+        start = np.flatnonzero(_heads(keys))
+        counts = np.diff(np.append(start, len(keys)))
         counts = np.repeat(counts, counts)
-        both = counts > 1
-        of, keys, counts = of[order[both]], ranked[both], counts[both]
-        order = np.argsort(of, kind="stable")
-        of, keys, counts = of[order], keys[order], counts[order]
-        names = name[first]
-        part = (_pairs_of(names)["a"] % np.uint64(buckets)).astype(np.int64)
-        to = part[of]
-        order = np.argsort(to, kind="stable")
-        of, keys, counts, to = of[order], keys[order], counts[order].astype("<u4"), to[order]
-        edge = np.searchsorted(to, np.arange(buckets + 1))
-        made = []
-        for p in np.flatnonzero(np.diff(edge)):
-            mine = slice(edge[p], edge[p + 1])
-            who, number = np.unique(of[mine], return_counts=True)
-            made.append((len(who), int(p), names[who].tobytes() + size[first[who]].astype("<u4").tobytes() + number.astype("<u4").tobytes()
-                         + counts[mine].tobytes() + keys[mine].tobytes()))
-        columns = list(zip(*made, strict=True)) or [[], [], []]
-        shared = pa.Table.from_arrays([pa.nulls(len(made), pa.int64()), pa.nulls(len(made), pa.binary()), pa.array(columns[0], pa.int32()),
-                                       pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], schema=FOUND)
-        return pa.concat_tables([plain, shared])
+        order = np.flatnonzero(counts > 1)
+        order = order[np.argsort(chunks[order], kind="stable")]
+        keys, chunks, counts = keys[order], chunks[order], counts[order].astype("<u4")
+        place = (marks[order] & np.uint64((1 << PLACE) - 1)).astype("<u2")
+        start = np.flatnonzero(_heads(chunks))
+        made = [(int(chunks[i]), j - i, keys[i:j].tobytes() + counts[i:j].tobytes() + place[i:j].tobytes())
+                for i, j in zip(start.tolist(), [*start[1:].tolist(), len(chunks)], strict=False)]
+        chunk, n, block = list(zip(*made, strict=True)) or ([], [], [])
+        void = {f: pa.nulls(len(made), FOUND.field(f).type) for f in ("doc_id", "cls", "names")}
+        return pa.concat_tables([rest, pa.table(void | {"n": pa.array(n, pa.int32()), "chunk": pa.array(chunk, pa.int64()), "block": pa.array(block, pa.binary())}).select(FOUND.names)])
 
     def gather(rows: pa.Table) -> pa.Table:
-        """The shared shingles of each class of one part, from all buckets."""
-        name, size, number, counts, keys = [], [], [], [], []
-        for n, block in zip(rows.column("n").to_pylist(), rows.column("block").to_pylist(), strict=True):
-            name.append(np.frombuffer(block, f"V{CLASS}", n))
-            size.append(np.frombuffer(block, "<u4", n, CLASS * n))
-            number.append(np.frombuffer(block, "<u4", n, (CLASS + 4) * n))
-            total, at = int(number[-1].sum()), (CLASS + 8) * n
-            counts.append(np.frombuffer(block, "<u4", total, at))
-            keys.append(np.frombuffer(block, "<i8", total, at + 4 * total))
-        name, size, number, counts, keys = (np.concatenate(x) for x in (name, size, number, counts, keys))
-        _, first, which = np.unique(_pairs_of(name), return_index=True, return_inverse=True)
-        of = np.repeat(which.reshape(-1), number)
-        n = size[first].astype(np.int64)
+        """The shared shingles of each class of one chunk, from all buckets."""
+        keys, counts, of = [np.empty(0, "<i8")], [np.empty(0, "<u4")], [np.empty(0, "<u2")]
+        for k, names, block in zip(*(rows.column(c).to_pylist() for c in ("n", "names", "block")), strict=True):
+            if block is None:
+                cls, n = [names[CLASS * i: CLASS * i + CLASS] for i in range(k)], np.frombuffer(names, "<u4", k, CLASS * k).astype(np.int64)
+            else:
+                keys.append(np.frombuffer(block, "<i8", k))
+                counts.append(np.frombuffer(block, "<u4", k, 8 * k))
+                of.append(np.frombuffer(block, "<u2", k, 12 * k))
+        keys, counts, of = (np.concatenate(x) for x in (keys, counts, of))
         room = n - (4 * n + 4) // 5 + 1 - (n - np.bincount(of, minlength=len(n)))  # of the prefix, for shared shingles
         live = (room > 0)[of]
         of, keys, counts = of[live], keys[live], counts[live]
         order = np.argsort(of, kind="stable")
         of, keys, counts = of[order], keys[order], counts[order]
-        head = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
-        at, edges = first[of[head]], pa.array(np.append(head, len(of)).astype(np.int32))
-        return pa.Table.from_arrays([pa.array([name[i].tobytes() for i in at], pa.binary()), pa.array(size[at].astype(np.int32)),
+        head = np.flatnonzero(_heads(of))
+        at, edges = of[head], pa.array(np.append(head, len(of)).astype(np.int32))
+        return pa.Table.from_arrays([pa.array([cls[i] for i in at], pa.binary()), pa.array(n[at].astype(np.int32)),
                                      pa.ListArray.from_arrays(edges, pa.array(keys)), pa.ListArray.from_arrays(edges, pa.array(counts.astype(np.int32)))],
                                     names=["cls", "n", "keys", "counts"])
 
-    cuts = docs.select("doc_id", "text").mapInArrow(cut, "bucket long, doc_id long, cls binary, n int, block binary")
-    found = staged(cuts.groupBy("bucket").applyInArrow(count, "doc_id long, cls binary, n int, part long, block binary"), "shingles")
-    shared = found.where("block IS NOT NULL").select("part", "n", "block").groupBy("part").applyInArrow(
+    row = "doc_id long, cls binary, n int, chunk long, names binary, block binary"
+    cuts = docs.select("doc_id", "text").mapInArrow(cut, f"bucket long, {row}")
+    found = staged(cuts.groupBy("bucket").applyInArrow(count, row), "shingles")
+    shared = found.where("chunk IS NOT NULL").select("chunk", "n", "names", "block").groupBy("chunk").applyInArrow(
         gather, "cls binary, n int, keys array<bigint>, counts array<int>")
-    return found.where("block IS NULL").select("doc_id", "cls", "n"), shared
+    return found.where("chunk IS NULL").select("doc_id", "cls", "n"), shared
 
 
 def prefixes(shared: DataFrame) -> DataFrame:
