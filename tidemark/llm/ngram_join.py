@@ -76,7 +76,7 @@ def _texts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list,
     yield ids, texts
 
 
-PLACE = 16  # bits of the place of a class in its chunk
+PLACE, CHUNK = 16, 26  # bits of the place of a class in its chunk, and of a chunk in its task
 FOUND = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n", pa.int32()), ("chunk", pa.int64()), ("names", pa.binary()), ("block", pa.binary())])
 
 
@@ -88,8 +88,9 @@ def _heads(of: np.ndarray) -> np.ndarray:
 def shared_shingles(docs: DataFrame, chunk_bytes: int = 3 << 20, bucket_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """``(members, shared)``.  ``members``: ``doc_id, cls, n``, the class and set
     size of each row of ``docs`` (without words: null and 0).  ``shared``:
-    ``cls, n, keys, counts``, the shingles of a class that other classes have
-    too, and how many classes have each, for classes whose prefix holds some.
+    ``id, cls, n, keys, counts``, the shingles of a class that other classes have
+    too, and how many classes have each, for classes whose prefix holds some;
+    ``id`` is its first chunk and place, a third of the size of its name.
 
     Both ways between chunks of texts and buckets, shingles travel in packed
     blocks.  The 16-byte names of classes stay with their chunk: a bucket knows
@@ -100,7 +101,7 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = 3 << 20, bucket_bytes: i
     buckets = max(1, -(-text_bytes(docs) // bucket_bytes))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId() << CHUNK
         for chunk, (ids, texts) in enumerate(_texts(batches, chunk_bytes), task):
             sets = shingle_sets(texts)
             names = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -160,6 +161,7 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = 3 << 20, bucket_bytes: i
 
     def gather(rows: pa.Table) -> pa.Table:
         """The shared shingles of each class of one chunk, from all buckets."""
+        chunk = rows.column("chunk")[0].as_py()
         keys, counts, of = [np.empty(0, "<i8")], [np.empty(0, "<u4")], [np.empty(0, "<u2")]
         for k, names, block in zip(*(rows.column(c).to_pylist() for c in ("n", "names", "block")), strict=True):
             if block is None:
@@ -176,29 +178,30 @@ def shared_shingles(docs: DataFrame, chunk_bytes: int = 3 << 20, bucket_bytes: i
         of, keys, counts = of[order], keys[order], counts[order]
         head = np.flatnonzero(_heads(of))
         at, edges = of[head], pa.array(np.append(head, len(of)).astype(np.int32))
-        return pa.Table.from_arrays([pa.array([cls[i] for i in at], pa.binary()), pa.array(n[at].astype(np.int32)),
+        return pa.Table.from_arrays([pa.array((chunk << PLACE) + at.astype(np.int64)), pa.array([cls[i] for i in at], pa.binary()), pa.array(n[at].astype(np.int32)),
                                      pa.ListArray.from_arrays(edges, pa.array(keys)), pa.ListArray.from_arrays(edges, pa.array(counts.astype(np.int32)))],
-                                    names=["cls", "n", "keys", "counts"])
+                                    names=["id", "cls", "n", "keys", "counts"])
 
     row = "doc_id long, cls binary, n int, chunk long, names binary, block binary"
     cuts = docs.select("doc_id", "text").mapInArrow(cut, f"bucket long, {row}")
     found = staged(cuts.groupBy("bucket").applyInArrow(count, row), "shingles")
     shared = found.where("chunk IS NOT NULL").select("chunk", "n", "names", "block").groupBy("chunk").applyInArrow(
-        gather, "cls binary, n int, keys array<bigint>, counts array<int>")
+        gather, "id long, cls binary, n int, keys array<bigint>, counts array<int>")
     return found.where("chunk IS NULL").select("doc_id", "cls", "n"), shared
 
 
 def prefixes(shared: DataFrame) -> DataFrame:
-    """``cls, n, own, keys, prefix, grp`` of the classes whose prefix holds a
-    shared shingle: ``own`` shingles of no other class come first in the order,
-    then ``prefix``; ``grp`` is one for classes with equal prefix and size; ``bits``
-    is a bitmap of ``keys``."""
+    """``id, cls, n, own, keys, prefix, twin, bits`` of the classes whose prefix
+    holds a shared shingle: ``own`` shingles of no other class come first in the
+    order, then ``prefix``; ``twin`` is one for classes with equal prefix and
+    size, null where shingles of their own tell them apart; ``bits`` is a bitmap
+    of ``keys``."""
     need = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
     ranked = shared.withColumn("own", F.col("n") - F.size("keys")).withColumn("room", need - F.col("own")).where("room > 0")
     order = F.array_sort(F.zip_with("counts", "keys", lambda c, k: F.struct(c.alias("c"), k.alias("k"))))
     ranked = ranked.withColumn("prefix", F.transform(F.slice(order, F.lit(1), F.col("room")), lambda x: x["k"]))
-    group = F.when(F.col("own") == 0, F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>"))))).otherwise(F.col("cls"))
-    return ranked.select("cls", "n", "own", "keys", "prefix", group.alias("grp"), _bitmap("keys").alias("bits"))
+    twin = F.when(F.col("own") == 0, F.unhex(F.md5(F.concat_ws(",", F.col("n").cast("string"), F.col("prefix").cast("array<string>")))))
+    return ranked.select("id", "cls", "n", "own", "keys", "prefix", twin.alias("twin"), _bitmap("keys").alias("bits"))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -227,17 +230,16 @@ def _may_link(x: str, y: str):
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` that are 80 % alike: 100 * common >= 80 * union."""
-    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
-    two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
     common = F.size(F.array_intersect("ka", "kb"))
     return pairs.join(one, "a").join(two, "b").where(common * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
 
 
-def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    """``cls, grp, comp``: each class with the component that it is in so far."""
+def _labelled(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, grp, comp``: each class with the component that it is in so far."""
     labels = components(links)
-    return sets.select("cls", "grp").join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "grp", F.coalesce("label", "cls").alias("comp"))
+    return groups.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "grp", F.coalesce("label", "id").alias("comp"))
 
 
 def _most_met(met: DataFrame, turn: int) -> DataFrame:
@@ -249,8 +251,8 @@ def _most_met(met: DataFrame, turn: int) -> DataFrame:
 def _open(posted: DataFrame, classes: DataFrame) -> DataFrame:
     """Postings of the shingles that stand in more than one component, a row
     for each group and component; ``rep`` is a member of both."""
-    units = classes.groupBy("grp", "comp").agg(F.min("cls").alias("rep"))
-    near = posted.drop("rep").join(units, "grp")
+    units = classes.groupBy("grp", "comp").agg(F.min("id").alias("rep"))
+    near = posted.join(units, "grp")
     apart = near.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
     return near.join(apart, "key")
 
@@ -260,21 +262,25 @@ def jaccard_links(shared: DataFrame, turns: int = 4) -> tuple[DataFrame, DataFra
     links ``(a, b)`` that connect every component."""
     sets = staged(prefixes(shared), "sets")
     size_class = F.floor(F.log(1.25, F.col("n").cast("double")))
-    groups = sets.groupBy("grp").agg(F.min("cls").alias("rep"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix"))
-    posted = staged(groups.select("grp", "rep", "n", "own", F.posexplode("prefix").alias("i", "key")), "postings")
+    alone, twins = sets.where("twin IS NULL"), sets.where("twin IS NOT NULL")
+    firsts = twins.groupBy("twin").agg(F.min("id").alias("grp"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("prefix").alias("prefix"))
+    heads = alone.select(F.col("id").alias("grp"), "n", "own", "prefix").union(firsts.drop("twin"))
+    posted = staged(heads.select("grp", "n", "own", F.posexplode("prefix").alias("i", "key")), "postings")
+    least = twins.groupBy("twin").agg(F.min("id").alias("grp"))
+    groups = staged(alone.select("id", F.col("id").alias("grp")).union(twins.select("twin", "id").join(least, "twin").select("id", "grp")), "groups")
 
     # first of each shingle and size class, and of these the one met most often; first of each group
-    sized = posted.withColumn("sc", size_class)
+    sized = posted.select(F.col("grp").alias("rep"), "key", size_class.alias("sc"))
     hubs = sized.groupBy("key", "sc").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
     met = sized.join(hubs, ["key", "sc"]).where("rep != hub")
-    inside = sets.join(groups.select("grp", F.col("rep").alias("a")), "grp").where("cls != a").select("a", F.col("cls").alias("b"))
+    inside = groups.where("id != grp").select(F.col("grp").alias("a"), F.col("id").alias("b"))
     tried = staged(_most_met(met, 0).union(inside), "tried")
     links = staged(_verified(tried, sets), "links")
-    classes = staged(_labelled(sets, links), "labelled")
+    classes = staged(_labelled(groups, links), "labelled")
 
     # the same with other members, between different components, while it still finds links
     for turn in range(1, turns + 1):
-        units = classes.groupBy("grp", "comp").agg(F.min("cls").alias("rep"))
+        units = classes.groupBy("grp", "comp").agg(F.min("id").alias("rep"))
         near = posted.select("key", "grp", size_class.alias("sc")).join(units, "grp").drop("grp")
         hubs = near.groupBy("key", "sc").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(
             F.struct("rep", "comp"), F.xxhash64("rep", F.lit(turn))).alias("h")).where("c0 <> c1").select("key", "sc", "h")
@@ -284,19 +290,19 @@ def jaccard_links(shared: DataFrame, turns: int = 4) -> tuple[DataFrame, DataFra
         tried, links = tried.union(pairs), links.union(new)
         n_pairs, n_new = pairs.count(), new.count()
         if n_new:
-            classes = staged(_labelled(sets, links), "labelled")
+            classes = staged(_labelled(groups, links), "labelled")
         if n_new * 20 < n_pairs or not n_new:
             break
 
     # all remaining candidates between different components, member by member
     near = _open(posted, classes).drop("rep")
     many = near.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
-    members = classes.join(sets.select("cls", "bits"), "cls")
+    members = classes.join(sets.select("id", "bits"), "id")
     near = staged(near.join(many, "key").join(members, ["grp", "comp"]), "open-postings")
     x, y = near.where("comp != main").alias("x"), near.alias("y")
     ahead = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
     found = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.comp") != F.col("y.comp")) & ahead & _may_link("x", "y"))
-    pairs = found.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    pairs = found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return sets, links.union(staged(_verified(pairs.join(known, ["a", "b"], "left_anti"), sets), "links"))
 
@@ -312,11 +318,11 @@ def ngram_components(docs: DataFrame, **sizes: int) -> DataFrame:
     * an empty table gives an empty result; other columns are not read.
     """
     rows, shared = shared_shingles(docs, **sizes)
-    _, links = jaccard_links(shared)
+    sets, links = jaccard_links(shared)
     first = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    named = first.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    ids = named.join(least, "label").select("cls", "component_id")
+    linked = components(links).join(sets.select(F.col("id").alias("node"), "cls"), "node").join(first, "cls")
+    least = linked.groupBy("label").agg(F.min("first").alias("least"))
+    ids = first.join(linked.join(least, "label").select("cls", "least"), "cls", "left").select("cls", F.coalesce("least", "first").alias("component_id"))
     return rows.join(ids, "cls", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
