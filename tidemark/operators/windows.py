@@ -159,16 +159,17 @@ def acf(df: DataFrame, spec: SeriesSpec, col: str, lags: Iterable[int], of: str
     """Autocorrelation ``corr(x, lag(x, k))`` for each lag (pairwise
     complete), plus the +-1.96/sqrt(n) band (W18-W20).  ``of='abs'`` uses
     ``|x|``.  All lags share one Window node and one aggregate; the result is
-    unpivoted to ``(lag, acf, bound)``."""
+    unpivoted to ``(lag, acf, bound)``, for each key of a keyed spec with the
+    band of its own length."""
     lags = list(lags)
     base = F.abs(F.col(col)) if of == "abs" else F.col(col)
     d = df.withColumn("__x", base)
     d = windowed(d, spec, lambda w: [F.lag("__x", k).over(w).alias(f"__l{k}") for k in lags], before=max(lags))
     aggs = [safe_corr("__x", f"__l{k}").alias(f"c{k}") for k in lags]
-    wide = d.agg(F.count(F.lit(1)).alias("__n"), *aggs)
+    wide = d.groupBy(*spec.key).agg(F.count(F.lit(1)).alias("__n"), *aggs)
     stack = ", ".join(f"{k}, c{k}" for k in lags)
-    return wide.selectExpr("__n", f"stack({len(lags)}, {stack}) as (lag, acf)").select(
-        F.col("lag").cast("long").alias("lag"), F.col("acf"),
+    return wide.selectExpr(*spec.key, "__n", f"stack({len(lags)}, {stack}) as (lag, acf)").select(
+        *spec.key, F.col("lag").cast("long").alias("lag"), F.col("acf"),
         (lit_d(1.96) / F.sqrt(F.col("__n").cast("double"))).alias("bound"))
 
 

@@ -81,13 +81,15 @@ def run_stream(sdf: DataFrame, sink_path: str, checkpoint: str, quarantine_path:
 
 
 def validate_batch(pred: DataFrame, ids: DataFrame, key: str, batch: str) -> DataFrame:
-    """Per batch, the prediction count must equal the id count, ids must
-    be non-empty and every id must have a prediction.  Returns one row per
-    batch with the checks (full outer join of the two per-batch counts)."""
-    p = pred.groupBy(batch).agg(F.count(F.lit(1)).alias("n_pred"),
-                                F.count(F.when(F.col("prediction").isNull(), 1)).alias("n_missing"))
-    i = ids.groupBy(batch).agg(F.count(F.lit(1)).alias("n_ids"))
-    j = p.join(i, batch, "full_outer")
-    return j.select(batch, F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.coalesce("n_ids", F.lit(0)).alias("n_ids"),
-                    ((F.coalesce("n_pred", F.lit(0)) == F.coalesce("n_ids", F.lit(0))) & (F.col("n_ids") > 0)
-                     & (F.coalesce("n_missing", F.lit(0)) == 0)).alias("valid"))
+    """Ids must be non-empty and every row id must have exactly one
+    prediction that is not null, and none may be left over.  Returns one row per
+    batch with the counts, from a full outer join on the ids (null ids match
+    null ids)."""
+    p = pred.groupBy(F.col(batch).alias("pb"), F.col(key).alias("pk")).agg(
+        F.count(F.lit(1)).alias("np"), F.count("prediction").alias("nv"))
+    i = ids.groupBy(F.col(batch).alias("ib"), F.col(key).alias("ik")).agg(F.count(F.lit(1)).alias("ni"))
+    j = p.join(i, F.col("pb").eqNullSafe(F.col("ib")) & F.col("pk").eqNullSafe(F.col("ik")), "full_outer")
+    n_pred, n_ids = F.coalesce("np", F.lit(0)), F.coalesce("ni", F.lit(0))
+    fits = (n_pred == n_ids) & (F.coalesce("nv", F.lit(0)) == n_ids)
+    return j.groupBy(F.when(F.col("ni").isNull(), F.col("pb")).otherwise(F.col("ib")).alias(batch)).agg(
+        F.sum(n_pred).alias("n_pred"), F.sum(n_ids).alias("n_ids"), (F.min(fits) & (F.sum(n_ids) > 0)).alias("valid"))
