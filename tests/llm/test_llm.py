@@ -200,6 +200,38 @@ def test_quotations(spark):
     assert reply_links(spark.createDataFrame([], "conv_id long, turn long, text string")).count() == 0
 
 
+def test_conversations_in_reply_order(spark):
+    import random
+
+    rng, rows = random.Random(6), [(1, 0, "a b c d"), (1, 1, "> a b c d\nfirst answer"), (1, 2, "> a b c d\nsecond answer"), (1, 3, "> first answer\ndeeper"), (1, 4, "last")]
+    for conv, often in ((2, 0.9), (3, 0.3), (4, 0.05)):
+        for turn in range(120):
+            if conv == 4 and turn in (40, 41):
+                continue  # a gap opens a tree
+            quoted = f"> own words of {conv} {rng.randrange(turn)}\n" if turn and rng.random() < often else ""
+            rows.append((conv, turn, f"{quoted}own words of {conv} {turn}"))
+    rows += [(5, t, f"> own words of 5 0\nown words of 5 {t}" if t else "own words of 5 0") for t in range(90)]
+    rows += [(2, 7, "again"), (None, 3, "x"), (6, None, "y")]
+    got = reply_links(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert len(got) == len(rows)
+    assert [r.turn for r in sorted((r for r in got if r.conv_id == 1), key=lambda r: r.place)] == [0, 1, 3, 4, 2]
+    for conv in range(1, 6):
+        up = {r.turn: r.reply_turn if r.reply_conv == conv else None for r in got if r.conv_id == conv}
+        order, roots = [], {}
+        todo = [(t, t) for t in sorted(up, reverse=True) if up[t] is None]
+        while todo:
+            t, root = todo.pop()
+            order.append(t)
+            roots[t] = root
+            todo += [(c, root) for c in sorted(up, reverse=True) if up[c] == t]
+        assert {(r.turn, r.place, r.root_turn) for r in got if r.conv_id == conv} == {(t, i, roots[t]) for i, t in enumerate(order)}
+    assert all(r.place is None and r.root_turn is None for r in got if r.conv_id is None or r.turn is None)
+    # the first original is of the quote's own conversation, but later: the other conversation has it
+    rows = [(1, 0, "> shared words\nx"), (1, 1, "shared words"), (2, 0, "nothing"), (2, 1, "shared words")]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn) for r in reply_links(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert got[1, 0] == (2, 1)
+
+
 def test_edges_of_set_operators(spark, edge, none):
     near = sorted(((r.doc_id, r.component_id) for r in ngram_components(edge).collect()), key=str)
     assert near == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (None, 5), (5, 5), (5, 5), (6, 6), (7, 5)], key=str)

@@ -197,9 +197,9 @@ def op9(spark, sf_dir):
 
 @_query("op6_quotations")
 def op6(spark, sf_dir):
-    """Every message without quotes, with what it answers."""
+    """Every message without quotes, with what it answers and its place in that order."""
     found = reply_links(table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quoted", "depth", "n_linked", "reply_conv", "reply_turn", "thread")
+    return found.select("conv_id", "turn", "role", F.sha2("body", 256).alias("body_sha256"), "n_quoted", "depth", "n_linked", "reply_conv", "reply_turn", "thread", "root_turn", "place")
 
 
 @_query("op10_line_dedup")
