@@ -250,6 +250,25 @@ def test_edges_of_set_operators(spark, edge, none):
     assert mixed.where("source = 'a'").agg(F.sum("taken")).first()[0] > 0
 
 
+def test_every_link_of_the_join(spark, none):
+    from tidemark.llm.ngram_join import ngram_links
+
+    base = [f"b{i}" for i in range(120)]
+    made = [(900 + j, " ".join([*base[: 10 * j], f"x{j}", *base[10 * j + 1:]])) for j in range(12)]  # one word changed: most pairs are alike, not only a chain
+    made += [(950, made[0][1]), (951, None), (None, made[3][1].upper())]
+    rows = texts() + made
+    split = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
+    sets = [frozenset(tuple(w[i: i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))) for w in split]
+    alike = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted(((d, len(s), sum(alike(s, t) for t in sets) - bool(s)) for (d, _), s in zip(rows, sets, strict=True)), key=str)
+    got, links = ngram_links(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=200_000, bucket_bytes=300_000)
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got.collect()), key=str) == want
+    classes = list(set(sets) - {frozenset()})
+    pairs = {(r.a, r.b) for r in links.collect()}
+    assert len(pairs) == links.count() == sum(alike(a, b) for i, a in enumerate(classes) for b in classes[:i]) >= 60
+    assert [x.count() for x in ngram_links(none)] == [0, 0]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}

@@ -19,6 +19,10 @@ shingles with (as many pairs as groups), again with others while that still
 finds links between components.  The last round takes every remaining candidate
 pair whose ends are in different components.  No link is lost: in the end, a
 pair of candidates is verified or already connected.
+
+``ngram_links`` is the join itself: it takes the candidate pairs of all groups,
+connected or not, and returns every link between classes, their members, and
+how many links each document has.
 """
 
 from __future__ import annotations
@@ -327,6 +331,47 @@ def ngram_components(docs: DataFrame, **sizes: int) -> DataFrame:
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def all_links(sets: DataFrame) -> DataFrame:
+    """Every link ``(a, b)``, ``a < b``, between the classes ``sets`` (as from
+    ``prefixes``).  Pairs of groups are filtered by size and place first, then
+    expanded to members, which are sifted by bitmap and intersected.  There are
+    as many rows as links: a group of n texts that are all alike has n(n-1)/2."""
+    named = sets.withColumn("grp", F.coalesce(F.hex("twin"), F.col("id").cast("string")))
+    heads = named.groupBy("grp").agg(*[F.first(c).alias(c) for c in ("n", "own", "prefix")])
+    posted = staged(heads.select("grp", "n", "own", F.posexplode("prefix").alias("i", "key")), "postings")
+    x, y = posted.alias("x"), posted.alias("y")
+    n1, n2 = F.col("x.n"), F.col("y.n")
+    left = F.least(n1 - F.col("x.own") - F.col("x.i"), n2 - F.col("y.own") - F.col("y.i"))
+    near = (F.least(n1, n2) * 5 >= F.greatest(n1, n2) * 4) & (left * 9 >= (n1 + n2) * 4)
+    groups = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.grp") < F.col("y.grp")) & near)
+    within = heads.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+    groups = staged(groups.select(F.col("x.grp").alias("ga"), F.col("y.grp").alias("gb")).distinct().union(within), "group-pairs")
+    members = staged(named.select("grp", "id", "n", "own", F.lit(0).alias("i"), "bits"), "group-members")
+    x, y = members.alias("x"), members.alias("y")
+    pairs = groups.join(x, F.col("ga") == F.col("x.grp")).join(y, F.col("gb") == F.col("y.grp")).where(
+        ((F.col("ga") != F.col("gb")) | (F.col("x.id") < F.col("y.id"))) & _may_link("x", "y"))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return _verified(staged(pairs, "pairs"), sets)
+
+
+def ngram_links(docs: DataFrame, **sizes: int) -> tuple[DataFrame, DataFrame]:
+    """``(rows, links)``.  ``rows``, one per row of ``docs`` (``doc_id, text``):
+    ``doc_id, n_shingles, cls, n_links``, the class (equal sets; null without
+    words) and the number of other rows that are 80 % alike, equal ones among
+    them.  ``links``: every pair ``(a, b)``, ``a < b``, of classes that are."""
+    rows, shared = shared_shingles(docs, **sizes)
+    sets = staged(prefixes(shared), "sets")
+    names = sets.select("id", "cls")
+    links = all_links(sets).join(names.toDF("a", "ca"), "a").join(names.toDF("b", "cb"), "b")
+    links = staged(links.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), "class-links")
+    own = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.count(F.lit(1)).alias("k"))
+    both = links.union(links.select("b", "a")).toDF("cls", "other")
+    met = both.join(own.toDF("other", "k"), "other").groupBy("cls").agg(F.sum("k").alias("met"))
+    counts = own.join(met, "cls", "left").select("cls", (F.col("k") - 1 + F.coalesce("met", F.lit(0))).alias("n_links"))
+    rows = rows.join(counts, "cls", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "cls", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows, links
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that are the first of their component (all rows of that
     id), with their columns."""
