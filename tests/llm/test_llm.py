@@ -269,6 +269,30 @@ def test_every_link_of_the_join(spark, none):
     assert [x.count() for x in ngram_links(none)] == [0, 0]
 
 
+def test_a_common_gram_is_dealt_to_many_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.hashing import run_hashes, word_hashes
+    from tidemark.llm.substring_dedup import super_kmers
+
+    gram = min(([b"c%d" % (4 * i + j) for j in range(4)] for i in range(500)), key=lambda g: int(run_hashes(word_hashes(g), 4)[0]))
+    said = " ".join(w.decode() for w in gram)
+    rows = [(i, " ".join(f"u{i}x{j}" for j in range(16)) + f" {said} " + " ".join(f"v{i}x{j}" for j in range(16))) for i in range(600)]
+    rows += [(700, f"{rows[5][1]} {said}"), (701, " ".join([said] * 12)), (702, " ".join([said] * 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {"chunk_words": 2000, "bucket_bytes": 20_000, "sample": 1}
+    load = super_kmers(docs, **sizes).where("version IS NULL").groupBy("bucket").agg(F.sum(F.octet_length("block")).alias("b")).collect()
+    assert len(load) > 20 and max(r.b for r in load) < 0.2 * sum(r.b for r in load)
+    first, gone = {}, Counter()
+    for d, t in rows:
+        w, cover = t.split(), set()
+        for i in range(len(w) - 19):
+            if first.setdefault(tuple(w[i: i + 20]), (d, i)) != (d, i):
+                cover |= set(range(i, i + 20))
+        gone[d] = len(cover)
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs, **sizes).collect()} == dict(gone) and gone[700] and gone[702]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}

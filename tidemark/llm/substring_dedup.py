@@ -11,6 +11,12 @@ documents the same way: copies within the chunk are marked at once and only the
 first of each travels.  So however common a passage is, its bucket gets one row
 per chunk at most.  Super-k-mers go to a bucket as one compressed block per
 chunk; in the bucket, those whose minimiser came once are passed over.
+
+A gram that is the minimiser of so many different windows that they would fill
+a good part of a bucket is heavy.  Heavy grams, found by counts over a sample of
+the documents, come last in the order of minimisers; a window of nothing else
+goes by its own hash.  Both depend on the window's words alone, so equal windows
+still meet, whichever grams the sample finds.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ from tidemark.llm.hashing import mixed, run_hashes, sliding_min, word_hashes
 
 K, M = 20, 4
 LAST = np.iinfo(np.int64).max  # stands for a null id: after every other
+HEAVY = np.iinfo(np.uint64).max  # stands for the hash of a heavy gram: after every other
 _REF = np.dtype([("doc_id", "<i8"), ("version", "<u4"), ("start", "<u4"), ("mini", "<u4")])
 
 
@@ -99,25 +106,64 @@ def _removed_words(pairs: bytes, n: int, k: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int = 700_000, bucket_bytes: int = 24 << 20) -> DataFrame:
-    """``doc_id, version, spans``: the windows of each document that start
-    earlier elsewhere, in one or more rows a document.  ``version`` is the
-    CRC-32 of the text and tells apart different texts under one id."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """The documents, some ``most`` words at a time: id, version and words."""
+    rows, size = [], 0
+    for batch in batches:
+        for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if t.is_valid:
+                text = t.as_buffer().to_pybytes()
+                rows.append((LAST if d is None else d, zlib.crc32(text), text.split()))
+                size += len(rows[-1][2])
+            if size >= most:
+                yield rows
+                rows, size = [], 0
+    yield rows
+
+
+def _minimisers(runs: _Runs, m: int, heavy: np.ndarray) -> np.ndarray:
+    """The minimiser of each window."""
+    grams = run_hashes(runs.h, m)
+    if not len(heavy):
+        return sliding_min(grams, runs.k - m + 1)[runs.at]
+    mini = sliding_min(np.where(np.isin(grams, heavy), HEAVY, grams), runs.k - m + 1)[runs.at]
+    return np.where(mini == HEAVY, run_hashes(runs.h, runs.k)[runs.at], mini)
+
+
+def heavy_grams(docs: DataFrame, k: int, m: int, chunk_words: int, least: int, sample: int) -> np.ndarray:
+    """The hashes of grams that are the minimiser of about ``least`` super-k-mers
+    or more, by a ``sample``-th of the documents (told by the hash of the id).
+    Each stands for a share of a bucket, so they are at most a few a bucket."""
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _chunks(batches, chunk_words):
+            rows = [r for r in rows if len(r[2]) >= k]
+            gram, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+            if rows:
+                sizes, zero = np.array([len(r[2]) for r in rows]), np.zeros(len(rows), np.int64)
+                runs = _Runs([w for r in rows for w in r[2]], sizes, zero, zero, k)
+                mini = _minimisers(runs, m, gram)
+                go = np.sort(np.unique(run_hashes(runs.h, k)[runs.at], return_index=True)[1])  # equal windows travel once
+                new = np.append(True, (np.diff(go) != 1) | (mini[go][1:] != mini[go][:-1]) | (runs.of[go][1:] != runs.of[go][:-1]))
+                gram, n = np.unique(mini[go[new]], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"gram": gram[n > 1].view(np.int64), "n": n[n > 1].astype(np.int64)})
+
+    taken = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 200)), F.lit(sample)) == 0)
+    sums = taken.mapInArrow(tally, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") * sample >= least)
+    return np.array([r.gram for r in sums.select("gram").collect()], np.int64).view(np.uint64)
+
+
+def super_kmers(docs: DataFrame, k: int = K, m: int = M, chunk_words: int = 700_000, bucket_bytes: int = 24 << 20, sample: int = 16) -> DataFrame:
+    """``bucket, doc_id, version, block``: the windows as they travel, a packed
+    block per chunk and bucket (``doc_id`` and ``version`` null), and the copies
+    found within a chunk."""
     small_batches(docs.sparkSession)
     buckets = max(1, -(-3 * text_bytes(docs) // bucket_bytes))
+    # an eighth of a bucket, at some 200 bytes a super-k-mer and its reference
+    heavy = heavy_grams(docs, k, m, chunk_words, max(2, bucket_bytes // 1600), sample) if buckets > 1 else np.empty(0, np.uint64)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if t.is_valid:
-                    text = t.as_buffer().to_pybytes()
-                    rows.append((LAST if d is None else d, zlib.crc32(text), text.split()))
-                    size += len(rows[-1][2])
-                if size >= chunk_words:
-                    yield chunk(rows)
-                    rows, size = [], 0
-        yield chunk(rows)
+        for rows in _chunks(batches, chunk_words):
+            yield chunk(rows)
 
     def chunk(rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
         rows = sorted((r for r in rows if len(r[2]) >= k), key=lambda r: r[0])
@@ -132,7 +178,7 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int =
                 for d, v, pairs in _spans(runs.doc[earlier], version[runs.of[earlier]], runs.start[earlier]):
                     for key, value in zip(out, (zlib.crc32(pairs, d & 0xFFFF) % buckets, d, v, pairs), strict=True):
                         out[key].append(value)
-            mini = sliding_min(run_hashes(runs.h, m), k - m + 1)[runs.at]
+            mini = _minimisers(runs, m, heavy)
             go = np.flatnonzero(~seen)
             new = np.append(True, (np.diff(go) != 1) | (mini[go][1:] != mini[go][:-1]) | (runs.of[go][1:] != runs.of[go][:-1]))
             head = go[new]  # first window of each super-k-mer
@@ -154,6 +200,13 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int =
                     out[key].append(value)
         return pa.RecordBatch.from_pydict(out, pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("block", pa.binary())]))
 
+    return docs.select("doc_id", "text").mapInArrow(cut, "bucket long, doc_id long, version long, block binary")
+
+
+def repeated_windows(docs: DataFrame, k: int = K, **sizes: int) -> DataFrame:
+    """``doc_id, version, spans``: the windows of each document that start
+    earlier elsewhere, in one or more rows a document.  ``version`` is the
+    CRC-32 of the text and tells apart different texts under one id."""
     def judge(rows: pa.Table) -> pa.Table:
         found = [r for r in rows.select(["doc_id", "version", "block"]).to_pylist() if r["version"] is not None]
         refs, texts = [], []
@@ -187,8 +240,7 @@ def repeated_windows(docs: DataFrame, k: int = K, m: int = M, chunk_words: int =
                     runs.doc[earlier], ref["version"][runs.of[earlier]].astype(np.int64), runs.start[earlier])]
         return pa.Table.from_pylist(found, pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("block", pa.binary())]))
 
-    cuts = docs.select("doc_id", "text").mapInArrow(cut, "bucket long, doc_id long, version long, block binary")
-    return cuts.groupBy("bucket").applyInArrow(judge, "doc_id long, version long, block binary").withColumnRenamed("block", "spans")
+    return super_kmers(docs, k, **sizes).groupBy("bucket").applyInArrow(judge, "doc_id long, version long, block binary").withColumnRenamed("block", "spans")
 
 
 def substring_dedup(docs: DataFrame, k: int = K, with_text: bool = False, **sizes: int) -> DataFrame:
