@@ -293,6 +293,22 @@ def test_a_common_gram_is_dealt_to_many_buckets(spark):
     assert {r.doc_id: r.n_removed for r in substring_dedup(docs, **sizes).collect()} == dict(gone) and gone[700] and gone[702]
 
 
+@pytest.mark.parametrize("block_rows", [40, 3])
+def test_mix_is_the_same_at_every_block_size(spark, edge, block_rows):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import table
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(Q.OP1_SQL)
+    docs = table(spark, SF, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    got = mix_sources(docs, F.col("size"), block_rows=block_rows).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    cut, whole = (sorted(map(str, mix_sources(edge, n_words(F.col("text")), block_rows=n).drop("text").collect())) for n in (block_rows, 10**6))
+    assert cut == whole
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}

@@ -10,9 +10,11 @@ Since the order is by size, the words that a source gives differ from its
 target by about one document's size at most, whatever the spread of sizes.
 
 The prefix sums are two-level, so that no source meets in one task: documents
-are counted per block (source, size class, hash), blocks are summed in a table
-that is far smaller than the documents, and ranks are taken within blocks.  The
-counts are whole numbers, hence reruns agree to the last document.
+are counted per block (source, size class, and in large tables ranges of size and
+doc_id), blocks are summed in a table that is far smaller than the documents, and
+ranks are taken within blocks.  Blocks follow the order (class, size, doc_id), so
+a rank is the row number in it at every size of input, wherever ranges are cut.
+The counts are whole numbers, hence reruns agree to the last document.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small
+
 OUT = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -71,7 +75,14 @@ def mix_sources(docs: DataFrame, size: Column, weights: tuple[float, ...] = (5,
     bits = F.expr("int(length(bin(_size)))")
     sized = sized.withColumn("_class", F.when(bits <= 4, F.col("_size")).otherwise(
         bits * 8 + F.expr("shiftright(_size, int(length(bin(_size))) - 4)")))
-    sized = sized.withColumn("_sub", F.pmod(F.xxhash64("doc_id"), F.lit(n_sub)) if n_sub > 1 else F.lit(0).cast("long"))
+    place = F.struct("_size", "doc_id", F.xxhash64(*cols).alias("_h"))
+    if n_sub > 1:  # ranges of about block_rows rows, cut at a sample of places
+        cuts = sized.where(F.pmod(F.xxhash64("doc_id", F.xxhash64(*cols)), F.lit(block_rows)) == 0)
+        cuts = cuts.groupBy("_src", "_class").agg(F.collect_set(place).alias("_cuts"))
+        sized = sized.join(small(cuts, 1_000_000), ["_src", "_class"], "left")
+        sized = sized.withColumn("_sub", F.coalesce(F.size(F.filter("_cuts", lambda x: x < place)), F.lit(0)).cast("long")).drop("_cuts")
+    else:
+        sized = sized.withColumn("_sub", F.lit(0).cast("long"))
     key = ["_src", "_class", "_sub"]
     blocks = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_s"), F.first("source").alias("_source"))
     sources = blocks.groupBy("_src").agg(F.sum("_s").alias("source_size"), F.first("_source").alias("_source"))
