@@ -52,7 +52,7 @@ def pipeline(name: str, cols: Sequence[str], label: str, **overrides) -> Pipelin
     """ML5: assemble (nulls must be filled before) + estimator, so the fitted
     bundle saves and loads as one ``PipelineModel`` (S9)."""
     asm = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[asm, model(name, "features", label, **overrides)])
+    return Pipeline(stages=[asm, model(name, label=label, **overrides)])
 
 
 def importance(fitted: PipelineModel, cols: Sequence[str]) -> DataFrame:
