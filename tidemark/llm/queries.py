@@ -19,6 +19,7 @@ from tidemark.llm.ngram_join import ngram_components
 from tidemark.llm.quality import quality
 from tidemark.llm.quotations import reply_links
 from tidemark.llm.secrets import secret_scan
+from tidemark.llm.spelling import spelling_groups, word_counts
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_records import token_records
 from tidemark.llm.warc import warc_round_trip
@@ -207,3 +208,37 @@ def op10(spark, sf_dir):
     """Every document's lines that equal, or nearly equal, an earlier line."""
     found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("removed", 256).alias("removed_sha256"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS k, hex(encode(id || run)) AS b FROM r WHERE length(run) >= 7 GROUP BY id, run),
+h AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, length(b) // 2), lambda i:
+           list_transform(range(0, 8), lambda j: (('0x' || b[2 * i + 1: 2 * i + 2])::BIGINT >> j::BIGINT) & 1::BIGINT)))),
+         lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) AS h FROM g),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(k) >= 2),
+v AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(0, length(word)))::INT AS i FROM w)),
+e AS (
+  SELECT x.word, y.word AS other, y.n AS m FROM v x JOIN v y ON x.i = y.i AND x.cut = y.cut AND length(x.word) = length(y.word) WHERE x.word <> y.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.cut = w.word
+  UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.cut = w.word),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m FROM e GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN m >= 10 * n THEN (SELECT min(other) FROM e WHERE e.word = w.word AND e.m = b.m) END AS form,
+         CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM w LEFT JOIN b ON b.word = w.word),
+c AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON c.next = f.word)
+SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM f JOIN c ON c.word = f.word AND c.next IS NULL
+"""
+
+
+@_query("op13_spelling", OP13_SQL)
+def op13(spark, sf_dir):
+    """Every word of the documents with its more frequent spelling."""
+    return spelling_groups(word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
