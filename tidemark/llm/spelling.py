@@ -93,13 +93,12 @@ def trie_nodes(oriented: DataFrame, shallowest: int) -> DataFrame:
     return up.agg(F.collect_list(F.struct(F.substr("node", F.col("depth") + 1, F.lit(1)).alias("c"), "low", "high", "n")).alias("kids"))
 
 
-def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What the states of one level become at the next, with ``m``, the count
-    of the word ``node``, where that is a pair.
+def _moves() -> Column:
+    """What a state becomes by the edge ``k``: an array of ``p, edits, m``,
+    where ``m`` is the count of the word that is found.
 
     Within a run of one letter only one place counts: a letter is inserted at
     the end of the run and the last one is deleted, so a trie gives no pair twice."""
-    met = states.join(nodes, "node").select("w", "n", "len", "p", "edits", "node", F.explode("kids").alias("k"))
     p, size, c = F.col("p"), F.col("len"), F.col("k.c")
 
     def own(i: Column) -> Column:
@@ -114,15 +113,13 @@ def _step(states: DataFrame, nodes: DataFrame) -> DataFrame:
     same, fresh = (p < size) & (own(p) == c), F.col("edits") == 0
     # a node one letter short of the word is the word without its last letter
     on = F.struct((p + 1).cast("int").alias("p"), F.lit(0).alias("edits"), F.when(p + 2 == size, F.col("k.n")).alias("m"))
-    taken = F.array(
+    return F.array_compact(F.array(
         F.when(fresh & same, on),
         to(same & ~fresh, p + 1),
         to(fresh & ~same & (p < size), p + 1),  # replaced
         to(fresh & ~same, p),  # inserted
         to(fresh & ~same & (p + 1 < size) & (own(p + 1) == c), p + 2),  # deleted
-    )
-    out = met.select("w", "n", "len", F.concat("node", "k.c").alias("node"), F.explode(F.array_compact(taken)).alias("t"))
-    return out.select("w", "n", "len", "t.p", "node", "t.edits", "t.m")
+    ))
 
 
 def _plain(w: str) -> Column:
@@ -141,13 +138,18 @@ def frontier_pairs(words: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = staged(trie_nodes(oriented, low).repartitionByRange(parts, "depth", "node"), "trie")
     sizes = dict(nodes.groupBy("depth").count().collect())  # a number per level
+    begun = oriented.select("w", "n", "len", F.col("begin").alias("p"), F.substr("w", F.lit(1), F.col("begin") + 1).alias("node"), F.lit(0).alias("edits"))
     states, pairs = None, []
+    along, became = F.explode("kids").alias("k"), F.explode(_moves()).alias("t")  # expressions of every level
     for depth in range(low, top + 1):
-        begun = oriented.where(F.col("begin") == depth).select(
-            "w", "n", "len", F.col("begin").alias("p"), F.substr("w", F.lit(1), F.lit(depth + 1)).alias("node"), F.lit(0).alias("edits"))
-        states = begun if states is None else states.union(begun)
-        edges = nodes.where(F.col("depth") == depth).select("node", "kids")
-        level = staged(_step(states, F.broadcast(edges) if sizes.get(depth, 0) <= most_broadcast else edges), "frontier")
+        new = begun.where(f"p = {depth}")
+        states = new if states is None else states.union(new)
+        edges = nodes.where(f"depth = {depth}").select("node", "kids")
+        if sizes.get(depth, 0) <= most_broadcast:
+            edges = F.broadcast(edges)
+        met = states.join(edges, "node").select("w", "n", "len", "p", "edits", "node", along)
+        level = met.selectExpr("w", "n", "len", "p", "edits", "concat(node, k.c) AS node", "k").select("w", "n", "len", "node", became)
+        level = staged(level.selectExpr("w", "n", "len", "t.p", "node", "t.edits", "t.m"), "frontier")
         pairs.append(level.where("m IS NOT NULL").select("w", "n", "node", "m"))
         states = level.where("edits = 0 OR m IS NULL").select("w", "n", "len", "p", "node", "edits")
     found = reduce(DataFrame.union, pairs)
