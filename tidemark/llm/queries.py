@@ -16,6 +16,7 @@ from tidemark.llm.decontaminate import contamination
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_components
+from tidemark.llm.prefix_trie import conversation_turns, prefix_trie, rebuilt
 from tidemark.llm.quality import quality
 from tidemark.llm.quotations import reply_links
 from tidemark.llm.secrets import secret_scan
@@ -242,3 +243,37 @@ SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
 def op13(spark, sf_dir):
     """Every word of the documents with its more frequent spelling."""
     return spelling_groups(word_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+OP12_SQL = r"""
+WITH t0 AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS (
+  SELECT c, tok, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, tok) AS k
+  FROM (SELECT c, turn, sha256(length(role) || ':' || role || text) AS tok, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t0)),
+ids AS (
+  SELECT c, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x:
+           list_transform(range(0, 8), lambda j: (ascii(x)::BIGINT >> j::BIGINT) & 1::BIGINT)))),
+         lambda a, x: xor(a >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t0)),
+r AS (SELECT ids.c, 0 AS part, k, tok, words FROM ids JOIN t ON t.c = base WHERE k <= h
+      UNION ALL SELECT ids.c, 1, k, tok, words FROM ids JOIN t ON t.c = ids.c WHERE k > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, k) AS d, tok, words FROM r),
+p AS (SELECT c, d, string_agg(tok, '') OVER (PARTITION BY c ORDER BY d) AS pre, words FROM s UNION ALL SELECT c, 0, '', 0 FROM ids),
+n AS (SELECT pre, d, min(c) AS conv, count(*) AS n, any_value(words) AS words FROM p GROUP BY pre, d),
+k AS (SELECT left(pre, 64 * (d - 1)) AS pre, count(*) AS kids FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (pre)),
+o AS (SELECT c, p.d, p.pre, CASE WHEN conv = c THEN (n - 1) * f.words ELSE 0 END AS sv, CASE WHEN conv = c AND kids = 0 THEN 1 ELSE 0 END AS lf FROM p JOIN f USING (pre)),
+u AS (SELECT pre, sum(sv) OVER w AS sv, sum(lf) OVER w AS lf FROM o WINDOW w AS (PARTITION BY c ORDER BY d DESC)),
+a AS (SELECT pre, sum(sv)::BIGINT AS sv, sum(lf)::BIGINT AS lf FROM u GROUP BY pre),
+e AS (SELECT pre, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS ends FROM (SELECT c, arg_max(pre, d) AS pre FROM p GROUP BY c) GROUP BY pre)
+SELECT f.conv AS conv_id, f.d::BIGINT AS depth, q.conv AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, lf AS n_leaves, sv AS saved_tokens,
+       coalesce(ends, sha256('')) AS ends_sha256
+FROM f JOIN a ON a.pre = f.pre LEFT JOIN e ON e.pre = f.pre LEFT JOIN f q ON f.d > 0 AND q.pre = left(f.pre, 64 * (f.d - 1))
+"""
+
+
+@_query("op12_prefix_trie", OP12_SQL)
+def op12(spark, sf_dir):
+    """Every shared beginning of the rebuilt conversations."""
+    trie = prefix_trie(rebuilt(conversation_turns(table(spark, sf_dir, "conversations"))))
+    return trie.drop("node", "parent")
