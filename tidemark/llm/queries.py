@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import n_words, staged, table
 from tidemark.llm.decontaminate import contamination
+from tidemark.llm.hyperminhash import near_duplicates
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_components
@@ -277,3 +278,13 @@ def op12(spark, sf_dir):
     """Every shared beginning of the rebuilt conversations."""
     trie = prefix_trie(rebuilt(conversation_turns(table(spark, sf_dir, "conversations"))))
     return trie.drop("node", "parent")
+
+
+OP11_SQL = OP2_SQL.replace(", 5) - 1) AS g", ", 4) - 1) AS g").replace("least(len(w), 5) + 2", "least(len(w), 4) + 2").replace(
+    "component_id FROM d LEFT", "component_id, doc_id = component_id AS kept FROM d LEFT")
+
+
+@_query("op11_hyperminhash", OP11_SQL)
+def op11(spark, sf_dir):
+    """Every document's component of links at 80 % of 4-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
