@@ -2,9 +2,9 @@
 
 Row-wise family statistics are plain projections; everything that looks at
 neighbouring rows goes through ``series.windowed`` so a whole level of
-features shares one Window node.  Global quantile flags (X4/X6) use a one-row
-aggregate joined back by broadcast; ``regime='expanding'`` replaces them by a
-leak-free expanding-window version.
+features shares one Window node.  Global quantile flags (X4/X6) compare with
+the quantiles of a whole series; ``regime='expanding'`` compares each row with
+those of the rows up to it (``expanding.expanding_rank``), so none sees the future.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import (DAYS_PER_MONTH, DAYS_PER_WEEK, DAYS_PER_YEAR, EPS, cyclic, family, flag,
                                         lit_d, row_stats, safe_div, sign_differs, sign_match)
-from tidemark.operators.series import SeriesSpec, ffill, windowed
+from tidemark.operators.expanding import above_quantile, below_quantile, expanding_rank
+from tidemark.operators.series import SeriesSpec, ensure_index, ffill, null_safe_join, windowed
 from tidemark.operators.windows import STATS, pct_rank_expr, roll, rsi_expr, zscore_expr
 
 TARGET = "market_forward_excess_returns"
@@ -152,32 +153,44 @@ def family_window_features(df: DataFrame, spec: SeriesSpec, regime: str = "globa
     return regime_flags(d, spec, regime)
 
 
+#: quantiles of the regime flags (fixed values): high and low volatility, extreme sentiment
+HIGH_VOL, LOW_VOL, EXTREME_SENTIMENT = 0.75, 0.25, 0.9
+
+
 def regime_flags(df: DataFrame, spec: SeriesSpec, regime: str = "global") -> DataFrame:
     """feat_high_vol / low_vol / extreme_vol and feat_extreme_sentiment.
-    ``global`` compares with quantiles of the whole table (the reference's
-    choice: early rows see the future); ``expanding`` uses only rows up to
-    the current one (rolling percentile over all rows so far)."""
+    ``global`` compares with quantiles of the whole series (the reference's
+    choice: early rows see the future); ``expanding`` with those of the rows up
+    to the current one.  A null or NaN value raises no flag; rows of a null key
+    are a series of their own."""
     have = set(df.columns)
+    if not have & {"feat_v_mean", "feat_s_mean"}:
+        return df
+    vol, sent = F.col("feat_v_mean") if "feat_v_mean" in have else None, F.abs("feat_s_mean") if "feat_s_mean" in have else None
     if regime == "global":
         aggs = []
-        if "feat_v_mean" in have:
-            aggs += [F.percentile("feat_v_mean", 0.75).alias("__q75"), F.percentile("feat_v_mean", 0.25).alias("__q25")]
-        if "feat_s_mean" in have:
-            aggs.append(F.percentile(F.abs("feat_s_mean"), 0.9).alias("__q90"))
-        if not aggs:
-            return df
+        if vol is not None:
+            aggs += [F.percentile("feat_v_mean", HIGH_VOL).alias("__q75"), F.percentile("feat_v_mean", LOW_VOL).alias("__q25")]
+        if sent is not None:
+            aggs.append(F.percentile(sent, EXTREME_SENTIMENT).alias("__q90"))
         q = df.groupBy(*spec.keys).agg(*aggs)
-        d = df.join(F.broadcast(q), spec.keys) if spec.keys else df.crossJoin(F.broadcast(q))
+        d = null_safe_join(df, q, spec.keys) if spec.keys else df.crossJoin(F.broadcast(q))  # one row without keys
+        high, low, far = vol is not None and vol > F.col("__q75"), vol is not None and vol < F.col("__q25"), sent is not None and sent > F.col("__q90")
     elif regime == "expanding":
-        raise NotImplementedError("expanding regime flags: use rolling_rank over the full history")
+        base, ri, added = ensure_index(df, spec)
+        cols = [c for c, v in (("__vol", vol), ("__sent", sent)) if v is not None]
+        d = base.select("*", *[v.alias(c) for c, v in (("__vol", vol), ("__sent", sent)) if v is not None])
+        d = expanding_rank(d, spec.with_index(ri), cols)
+        high = vol is not None and above_quantile(F.col("__vol_less"), F.col("__vol_seen"), HIGH_VOL)
+        low = vol is not None and below_quantile(F.col("__vol_most"), F.col("__vol_seen"), LOW_VOL)
+        far = sent is not None and above_quantile(F.col("__sent_less"), F.col("__sent_seen"), EXTREME_SENTIMENT)
     else:
         raise ValueError(f"unknown regime {regime!r}")
     out = []
-    if "feat_v_mean" in have:
-        hi, lo = flag(F.col("feat_v_mean") > F.col("__q75")), flag(F.col("feat_v_mean") < F.col("__q25"))
-        out += [hi.alias("feat_high_vol"), lo.alias("feat_low_vol"), F.greatest(hi, lo).alias("feat_extreme_vol")]
-    if "feat_s_mean" in have:
-        out.append(flag(F.abs("feat_s_mean") > F.col("__q90")).alias("feat_extreme_sentiment"))
+    if vol is not None:
+        out += [flag(high).alias("feat_high_vol"), flag(low).alias("feat_low_vol"), F.greatest(flag(high), flag(low)).alias("feat_extreme_vol")]
+    if sent is not None:
+        out.append(flag(far).alias("feat_extreme_sentiment"))
     return d.select(*df.columns, *out)
 
 
@@ -214,22 +227,27 @@ def calendar(df: DataFrame, col: str = "date_id", year: int = DAYS_PER_YEAR, wee
 def technical_block(df: DataFrame, spec: SeriesSpec, cols: Sequence[str] = ("lagged_forward_returns", LT),
                     macd: bool = True) -> DataFrame:
     """X10 + X11: RSI over 7/14/21 rows and MACD (12/26/9) for each column."""
-    from tidemark.operators.ewm import macd as macd_op
+    from tidemark.operators.ewm import macds
 
     cols = [c for c in cols if c in df.columns]
     d = windowed(df, spec, lambda w: [(F.col(c) - F.lag(c, 1).over(w)).alias(f"__d_{c}") for c in cols], before=1)
     d = windowed(d, spec, lambda w: [rsi_expr(F.col(f"__d_{c}"), w, n).alias(f"feat_{c}_rsi_{n}")
                                      for c in cols for n in RSI_WINDOWS], before=max(RSI_WINDOWS) - 1)
     d = d.drop(*[f"__d_{c}" for c in cols])
-    if macd:
-        for c in cols:
-            d = macd_op(d, spec, c, prefix=f"feat_{c}_")
-    return d
+    return macds(d, spec, cols, [f"feat_{c}_" for c in cols]) if macd and cols else d
 
 
-def build_features(df: DataFrame, spec: SeriesSpec, regime: str = "global", with_vol_of_vol: bool = False) -> DataFrame:
-    """Lag -> features -> (missing-value handling is a separate fitted
-    step, ``missing.MedianImputer``)."""
+def build_features(df: DataFrame, spec: SeriesSpec, regime: str = "global", with_vol_of_vol: bool = False, impute: bool = True,
+                   max_null: float = 0.3) -> DataFrame:
+    """Lag -> features -> median imputation of every feature column, without
+    those of which more than ``max_null`` is null (``impute=False`` leaves the
+    nulls, for an imputer fitted on training rows only).  Rows are numbered once;
+    the input, what the EWMs read and what the imputer is fitted on are cut."""
+    from tidemark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    df, ri, added = ensure_index(df, spec)
+    df, spec = df.checkpoint(eager=True), spec.with_index(ri)
     d = lagged_targets(df, spec)
     if LT in d.columns:
         d = lagged_target_block(d, spec)
@@ -238,14 +256,14 @@ def build_features(df: DataFrame, spec: SeriesSpec, regime: str = "global", with
         d = vol_of_vol(d, spec)
     d = family_row_features(d)
     d = family_window_features(d, spec, regime)
-    # the EWMs below checkpoint their output; materialise their input once so
-    # each of them does not recompute the whole plan above
-    from tidemark.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(d.sparkSession)
-    d = d.checkpoint(eager=True)
     d = technical_block(d, spec)
     d = interactions(d)
     if "date_id" in d.columns:
         d = calendar(d, "date_id")
-    return d
+    if impute:
+        from tidemark.operators.missing import MedianImputer
+
+        feats = [f.name for f in d.schema.fields if f.name.startswith("feat_") and f.dataType.typeName() == "double"]
+        d = d.checkpoint(eager=True)
+        d = MedianImputer(max_null, by_rank=True).fit(d, feats).transform(d)
+    return d.drop(ri) if added else d

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import null_if_nonfinite
-from tidemark.operators.profile import _long
+from tidemark.operators.profile import _long, null_profile, quantiles
 
 
 def fit_stats(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
@@ -63,6 +63,7 @@ class MedianImputer:
     max_null: float = 0.3
     approx: bool = False
     exclude: Sequence[str] = ()
+    by_rank: bool = False  # medians from numbered ranges (``profile.quantiles``): the same values, no column in one buffer
 
     def fit(self, df: DataFrame, cols: Sequence[str] | None = None) -> MedianImputerModel:
         from pyspark.sql import types as T
@@ -70,7 +71,12 @@ class MedianImputer:
         num = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.DecimalType)
         cols = list(cols or [f.name for f in df.schema.fields if isinstance(f.dataType, num)
                              and f.name not in self.exclude])
-        rows = fit_stats(df, cols, self.approx).collect()  # one row per column
+        if self.by_rank:
+            clean = df.select(*[null_if_nonfinite(F.col(c).cast("double")).alias(c) for c in cols])
+            mid = {r["column"]: r["value"] for r in quantiles(clean, cols, [0.5]).collect()}  # one row per column
+            rows = [{"column": r["column"], "null_pct": r["null_pct"], "median": mid.get(r["column"])} for r in null_profile(df, cols).collect()]
+        else:
+            rows = fit_stats(df, cols, self.approx).collect()  # one row per column
         drop = [r["column"] for r in rows if r["null_pct"] > self.max_null * 100.0]
         med = {r["column"]: r["median"] for r in rows if r["column"] not in drop}
         return MedianImputerModel(drop=drop, medians=med, keep=[c for c in cols if c not in drop])

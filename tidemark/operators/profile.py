@@ -65,6 +65,24 @@ def describe_long(df: DataFrame, cols: Sequence[str], approx: bool = False) -> D
                       bias_corrected_kurt(F.col("g2"), F.col("count")).alias("kurt"))
 
 
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], block_rows: int = 1 << 18) -> DataFrame:
+    """Exact interpolated quantiles ``column, prob, value`` at any size (A4,
+    A5): the values of all columns are numbered in order by ranges of at most a
+    few ``block_rows`` (``series.with_row_index``) and the rows at the two ranks
+    around each quantile are picked, so no task holds a column's distinct
+    values.  Nulls and NaN are left out; a column without values has no rows."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("v")) for c in cols])).alias("x"))
+    long = long.select("x.column", "x.v").where("v IS NOT NULL")
+    placed = with_row_index(long, SeriesSpec("v", "column", block_rows=block_rows), "_pos")
+    at = (F.col("n") - 1) * F.col("prob")
+    wanted = long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).select("column", "n", F.explode(F.array(*[lit_d(p) for p in probs])).alias("prob"))
+    low = F.struct(F.floor(at).alias("_pos"), (lit_d(1.0) - (at - F.floor(at))).alias("w"))
+    high = F.struct(F.least(F.floor(at) + 1, F.col("n") - 1).alias("_pos"), (at - F.floor(at)).alias("w"))
+    wanted = wanted.select("column", "prob", F.explode(F.array(low, high)).alias("t")).select("column", "prob", "t._pos", "t.w")
+    met = placed.join(F.broadcast(wanted), ["column", "_pos"])  # two rows a column and quantile
+    return met.groupBy("column", "prob").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+
+
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Null count and percent per column (A7), one aggregate."""
     cols = list(cols or df.columns)

@@ -6,9 +6,11 @@ task, and an unpartitioned window puts *all* rows into one task.  Both break
 when one series holds a large share of the table, so every operator here works
 on *blocks*:
 
-* ``with_row_index`` gives each row its 0-based position inside its series
-  from per-block counts and an exclusive prefix over blocks (the block table is
-  tiny: one row per block), never from a global ``row_number``.
+* ``with_row_index`` gives each row its 0-based position inside its series.
+  Series longer than a block are cut into ranges of their own order values;
+  ranges that turn out too full (an outlier, a dense stretch, ties) are cut
+  again by their own values, until none holds much more than a block.  Counts
+  per range and an exclusive prefix over ranges (one row each) give the rest.
 * ``windowed`` evaluates finite-frame window expressions per
   ``(key, floor(pos / B))`` block; the last ``before`` rows of a block are also
   sent to the next block (and the first ``after`` rows to the previous one) so
@@ -52,8 +54,8 @@ class SeriesSpec:
     index:      name of a column that already holds the 0-based position in
                 the series (skips ``with_row_index``).
     block_rows: rows per window block (B); must exceed every halo.
-    width:      coarse block width in order units used to number rows; None
-                measures it with one min/max/count aggregate.
+    width:      block width in order units used to number rows, where the order
+                is known to be even (positions); None measures the order.
     """
 
     order: str
@@ -72,8 +74,9 @@ class SeriesSpec:
     def keys(self) -> list[str]:
         return list(self.key)
 
-    def ordering(self) -> list[Column]:
-        return [F.col(self.order), *[F.col(c) for c in self.tiebreak]]
+    def ordering(self, df: DataFrame) -> list[Column]:
+        """Nulls first, then NaN, then values, then the tie-breaks."""
+        return [order_number(df, self.order).asc_nulls_first(), F.col(self.order).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in self.tiebreak]]
 
     def with_index(self, name: str) -> "SeriesSpec":
         return SeriesSpec(self.order, self.key, self.tiebreak, name, self.block_rows, self.width,
@@ -88,6 +91,9 @@ def order_number(df: DataFrame, name: str) -> Column:
     """The order column as a DOUBLE on a linear scale (days for DATE, µs for TIMESTAMP)."""
     dt = df.schema[name].dataType
     c = F.col(name)
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        # no place on the scale: with the nulls, -Inf below everything, +Inf above
+        c = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
@@ -107,41 +113,79 @@ def null_safe_join(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     return df.join(table, cond, "left").drop(*[f"_on_{c}" for c in on])
 
 
+ROOM = 4      # a range may hold this many times ``block_rows`` rows
+MOST_CUTS = 20  # rounds of cutting; each divides what is left by the size of its ranges
+
+
 def with_row_index(df: DataFrame, spec: SeriesSpec, name: str = RI) -> DataFrame:
     """Add the 0-based position of each row inside its series.
 
-    Rows are grouped in coarse blocks ``floor(order / width)``; per-block counts
-    (one small row per block) give each block its offset, and a
-    ``row_number`` inside ``(key, block)`` gives the rest.  The width is chosen
-    so a block holds about ``block_rows`` rows of the densest series, which
-    keeps every task bounded even when one key owns a third of the table.
-    Null order values come first in their series, as one block.
-    """
+    If no series is longer than a block, a ``row_number`` per key is all.
+    Otherwise only the longer ones (at most ``n / block_rows`` of them) are cut
+    into ranges of the order value (``_cut_ranges``), and a ``row_number`` per
+    range is added to the number of rows in the ranges before it.
+
+    Null order values come first in their series, then NaN; -Inf and +Inf stand
+    at its ends.  Rows that are equal in the order and every tie-break that is a
+    number cannot be cut: they are one task, in no fixed order."""
     if spec.index is not None and spec.index in df.columns:
         return df.withColumn(name, F.col(spec.index).cast("long"))
-    o = order_number(df, spec.order)
-    width = spec.width
-    n_blocks_bound = None
-    if width is None:
-        st = df.agg(F.min(o).alias("lo"), F.max(o).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-        lo, hi, n = st["lo"], st["hi"], st["n"]
-        if not n or lo is None:
-            width, n_blocks_bound = 1.0, 1
-        else:
-            span = max(hi - lo, 1.0)
-            width = max(span * spec.block_rows / n, 1e-9)
-            n_blocks_bound = int(math.ceil(span / width)) + 1
     keys = spec.keys
-    d = df.withColumn("_cb", F.floor(o / F.lit(float(width))).cast("long"))
-    counts = d.groupBy(*keys, "_cb").agg(F.count(F.lit(1)).alias("_cn"))
-    before = Window.partitionBy(*keys).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*keys, "_cb", F.coalesce(F.sum("_cn").over(before), F.lit(0)).cast("long").alias("_off"))
-    if not keys and n_blocks_bound is not None and n_blocks_bound <= spec.max_broadcast_blocks:
-        # one row per coarse block, bounded by construction above
-        offs = F.broadcast(offs)
-    d = null_safe_join(d, offs, [*keys, "_cb"])
-    w = Window.partitionBy(*keys, "_cb").orderBy(*spec.ordering())
-    return d.withColumn(name, (F.col("_off") + F.row_number().over(w) - 1).cast("long")).drop("_cb", "_off")
+    if spec.width is not None:
+        d, cells = df.withColumn("_c0", F.floor(order_number(df, spec.order) / F.lit(float(spec.width))).cast("long")), ["_c0"]
+    else:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        if (sizes.agg(F.max("_n")).first()[0] or 0) <= spec.block_rows:
+            w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*spec.ordering(df))
+            return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+        d, cells = _cut_ranges(df, spec)
+    counts = d.groupBy(*keys, *cells).agg(F.count(F.lit(1)).alias("_cn"))
+    before = Window.partitionBy(*keys).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*keys, *cells, F.coalesce(F.sum("_cn").over(before), F.lit(0)).cast("long").alias("_off"))
+    d = null_safe_join(d, offs, [*keys, *cells])
+    w = Window.partitionBy(*keys, *cells).orderBy(*spec.ordering(df))
+    return d.select(*df.columns, (F.col("_off") + F.row_number().over(w) - 1).cast("long").alias(name))
+
+
+def _cut_ranges(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, list[str]]:
+    """``df`` with range columns ``_c0, _c1, ...`` whose order is that of the
+    rows.  Each round cuts the ranges that hold more than ``ROOM`` blocks, evenly
+    between their least and greatest finite value of the first number that
+    still differs in them: the order itself, or a tie-break.  The table of these
+    ranges has at most ``n / block_rows`` rows; it is broadcast under a count."""
+    keys, size = spec.keys, spec.block_rows
+    kinds = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    names = [spec.order, *[c for c in spec.tiebreak if isinstance(df.schema[c].dataType, kinds)]]
+    numbers = [order_number(df, c) for c in names]
+    if len(names) - 1 < len(spec.tiebreak):  # a tie-break that is no number hides those behind it
+        numbers = numbers[: 1 + next(i for i, c in enumerate(spec.tiebreak) if c not in names)]
+    d, cells = df, []
+    for turn in range(MOST_CUTS):
+        parts = F.ceil(F.col("_n") / size)
+        stats = [F.count(F.lit(1)).alias("_n")]
+        for i, x in enumerate(numbers):
+            finite = F.when(F.abs(x) < F.lit(float("inf")), x)
+            stats += [F.min(finite).alias(f"_lo{i}"), F.max(finite).alias(f"_hi{i}"), (F.min(x).eqNullSafe(F.max(x)) & F.count(x).isin(0, F.count(F.lit(1)))).alias(f"_same{i}")]
+        which = F.lit(None).cast("int")
+        for i in reversed(range(len(numbers))):
+            which = F.when(~F.col(f"_same{i}"), F.lit(i)).otherwise(which)
+        full = d.groupBy(*keys, *cells).agg(*stats).where(F.col("_n") > (ROOM if turn else 1) * size).withColumn("_by", which).where("_by IS NOT NULL")
+
+        def chosen(part: str) -> Column:
+            return F.element_at(F.array(*[F.col(f"{part}{i}") for i in range(len(numbers))]), F.col("_by") + 1)
+
+        full = full.select(*keys, *cells, "_by", chosen("_lo").alias("_lo"), chosen("_hi").alias("_hi"), F.greatest(parts, F.lit(2)).cast("double").alias("_m"))
+        n_full = full.limit(spec.max_broadcast_blocks + 1).count()
+        if not n_full and turn:
+            break
+        d = null_safe_join(d, F.broadcast(full) if n_full <= spec.max_broadcast_blocks else full, [*keys, *cells])
+        x = F.element_at(F.array(*numbers), F.col("_by") + 1)
+        at = F.coalesce(F.try_divide((x - F.col("_lo")) * F.col("_m"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+        cell = (F.when(F.col("_by").isNull(), F.lit(0.0)).when(x.isNull(), F.lit(-2.0)).when(x == F.lit(float("-inf")), F.lit(-1.0))
+                .when(x == F.lit(float("inf")), F.col("_m") + 1).otherwise(F.greatest(F.lit(0.0), F.least(F.floor(at).cast("double"), F.col("_m") - 1))))
+        d = d.withColumn(f"_c{turn}", cell.cast("long")).drop("_by", "_lo", "_hi", "_m")
+        cells.append(f"_c{turn}")
+    return d, cells
 
 
 def ensure_index(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, str, bool]:
@@ -273,7 +317,7 @@ def attach_length(df: DataFrame, spec: SeriesSpec, ri: str) -> DataFrame:
     lens = series_length(df, spec, ri)
     if not spec.keys:
         return df.crossJoin(F.broadcast(lens))  # exactly one row
-    return df.join(lens, spec.keys, "inner")
+    return null_safe_join(df, lens, spec.keys)
 
 
 def take_evenly(df: DataFrame, spec: SeriesSpec, m: int, ri: str) -> DataFrame:

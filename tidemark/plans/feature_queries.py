@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from tidemark.operators import features as X
 from tidemark.operators.ewm import ewm, macd
 from tidemark.operators.series import SeriesSpec, windowed, with_row_index
 from tidemark.plans.fixtures_sql import DAILY_MARKET, WIDE_DAILY, WIDE_DAILY_NULLS, with_
-from tidemark.plans.registry import query, rounded
-from tidemark.plans.window_queries import frames_sql, roll_sql
+from tidemark.plans.registry import query, round_sig, rounded, sig_sql, unrounded
+from tidemark.plans.window_queries import frames_sql, roll_sql, rsi_sql
 from tidemark.sources.tables import DAILY, daily_market, wide_daily, wide_daily_nulls
 
 FAMS = {"v": ["V1", "V2", "V3", "V4"], "m": ["M1", "M2", "M3"], "s": ["S1", "S2"], "p": ["P1", "P2"],
@@ -282,10 +283,28 @@ def ewm_gaps(spark, sf_dir):
     return rounded(d.select("date_id", "e2_ewm_26", "m1_ewm_12", "m1_ewm_2"), 9, e2_ewm_26=6)
 
 
-@query("technical_block")
+_TB_COLS = {"lfr": "lagged_forward_returns", "lt": "lagged_market_forward_excess_returns"}
+_TB_SQL = "WITH RECURSIVE " + _LTB_SQL[len("WITH "):].split("\nSELECT date_id, ROUND(lt, 8)")[0]
+for _a, _c in _TB_COLS.items():
+    _TB_SQL += f""",
+gl_{_a} AS (SELECT date_id, COALESCE(GREATEST(x, 0.0), 0.0) AS gain, COALESCE(GREATEST(-x, 0.0), 0.0) AS loss
+  FROM (SELECT date_id, {_a} - LAG({_a}) OVER (ORDER BY date_id) AS x FROM l)),
+rsi_{_a} AS (SELECT date_id, """ + ", ".join(f"{rsi_sql(n)} AS feat_{_c}_rsi_{n}" for n in X.RSI_WINDOWS) + f"""
+  FROM gl_{_a} WINDOW {frames_sql('', 'date_id', X.RSI_WINDOWS)}),
+src_{_a} AS (SELECT date_id, {_a} AS x FROM l),
+""" + _ewm_rec_sql(f"src_{_a}", {"e12": 12, "e26": 26}).replace("rec(", f"rec_{_a}(").replace("FROM rec r", f"FROM rec_{_a} r") + f""",
+line_{_a} AS (SELECT date_id, e12 - e26 AS x FROM rec_{_a}),
+""" + _ewm_rec_sql(f"line_{_a}", {"sig": 9}).replace("rec(", f"rec2_{_a}(").replace("FROM rec r", f"FROM rec2_{_a} r")
+_TB_SQL += "\nSELECT rsi_lfr.date_id, " + ", ".join(
+    [f"ROUND(feat_{c}_rsi_{n}, 6) AS feat_{c}_rsi_{n}" for c in _TB_COLS.values() for n in X.RSI_WINDOWS]
+    + [f"ROUND({e}, 6) AS feat_{c}_{n}" for a, c in _TB_COLS.items()
+       for e, n in ((f"line_{a}.x", "macd"), (f"rec2_{a}.sig", "macd_signal"), (f"line_{a}.x - rec2_{a}.sig", "macd_hist"))]) + \
+    "\nFROM rsi_lfr" + "".join(f" JOIN {t}_{a} USING (date_id)" for a in _TB_COLS for t in ("rsi", "line", "rec2") if (t, a) != ("rsi", "lfr"))
+
+
+@query("technical_block", _TB_SQL)
 def technical_block(spark, sf_dir):
-    """RSI 7/14/21 and MACD of both lagged columns (X10, X11); its parts are
-    oracle-checked by ``rsi`` and ``ewm_macd``."""
+    """RSI 7/14/21 and MACD of both lagged columns."""
     m = market_targets(spark, sf_dir).select("date_id", "forward_returns", "risk_free_rate",
                                              "market_forward_excess_returns")
     d = X.technical_block(X.lagged_targets(m, DAILY), DAILY)
@@ -301,7 +320,50 @@ def market_table(spark, sf_dir):
     return with_row_index(wd.join(m, "d", "inner"), SeriesSpec(order="d"), "date_id")
 
 
-@query("feature_set")
+_MT_COLS = ["D1", *[c for cols in FAMS.values() for c in cols]]
+# both fixtures of the joined table under the names that the parts above use
+_MARKET_TABLE = WIDE_DAILY.replace("wide_daily AS", "wide0 AS") + "," + DAILY_MARKET.replace("daily_market AS", "market0 AS") + f""",
+mt AS (SELECT ROW_NUMBER() OVER (ORDER BY d) - 1 AS date_id, {', '.join(_MT_COLS)}, forward_returns, risk_free_rate,
+  forward_returns - risk_free_rate AS market_forward_excess_returns FROM wide0 JOIN market0 USING (d)),
+daily_market AS (SELECT date_id, forward_returns, risk_free_rate FROM mt),
+wide_daily AS (SELECT date_id, {', '.join(_MT_COLS)}, market_forward_excess_returns AS target FROM mt)"""
+
+
+def _part(sql: str, fixture: str) -> str:
+    """A query of this module as a subquery over the fixtures in scope, its
+    values not rounded."""
+    head = "WITH RECURSIVE " if sql.startswith("WITH RECURSIVE ") else "WITH "
+    rest = sql[len(head) + len(fixture):]
+    return unrounded((head + rest[1:]) if rest.startswith(",") else rest)
+
+
+_FULL = {"ltb": (_LTB_SQL, DAILY_MARKET), "rb": (_RB_SQL, DAILY_MARKET), "fs": (_FS_SQL, WIDE_DAILY), "fw": (_FW_SQL, WIDE_DAILY),
+         "tb": (_TB_SQL, DAILY_MARKET), "ia": (_IA_SQL, WIDE_DAILY), "cal": (_CAL_SQL, DAILY_MARKET)}
+_WHOLE = {"feat_lagged_target_sign", "feat_high_vol", "feat_low_vol", "feat_extreme_vol", "feat_extreme_sentiment", "feat_momentum_target_alignment", "feat_momentum_divergence",
+          "feat_day_of_year", "feat_week_of_year", "feat_month_of_year", *_INT_FEATS}
+_FEATURES = sorted({m for sql, _ in _FULL.values() for m in re.findall(r"AS (feat_\w+)", sql.split("\nFROM ")[-2].split("\nSELECT")[-1] if "\nFROM " in sql else sql)})
+_FEAT_SQL = "WITH " + _MARKET_TABLE + "".join(f",\n{n} AS ({_part(sql, fixture)})" for n, (sql, fixture) in _FULL.items()) + """,
+every AS (SELECT * FROM mt JOIN ltb USING (date_id)""" + "".join(f" JOIN {n} USING (date_id)" for n in list(_FULL)[1:]) + ")"
+
+
+_RATIO = "feat_vol_momentum_ratio"
+
+
+def _feature_set_sql(features) -> str:
+    def value(c):
+        if c == _RATIO:  # beyond 1e12 where the momentum is near 0
+            return f"ROUND({sig_sql(f'COALESCE({c}, med_{c})')}, 0) AS {c}"
+        return c if c in _WHOLE else f"ROUND(COALESCE({c}, med_{c}), 4) AS {c}"
+
+    own = ["lagged_market_forward_excess_returns", "lagged_forward_returns", "lagged_risk_free_rate", *[c for c in _MT_COLS if c not in ("D1", "E1")],
+           "forward_returns", "risk_free_rate", "market_forward_excess_returns"]
+    return _FEAT_SQL + ",\nmeds AS (SELECT " + ", ".join(f"MEDIAN({c}) AS med_{c}" for c in features if c not in _WHOLE) + " FROM every)\nSELECT date_id, D1, E1, " + ", ".join(
+        [f"ROUND({c}, 4) AS {c}" for c in own] + [value(c) for c in features]) + " FROM every, meds"
+
+
+@query("feature_set", _feature_set_sql(_FEATURES))
 def feature_set(spark, sf_dir):
-    """The full derived feature set on the wide market table."""
-    return X.build_features(market_table(spark, sf_dir), DAILY)
+    """The full derived feature set on the wide market table, missing values
+    filled (X0-X14, M5)."""
+    d = X.build_features(market_table(spark, sf_dir), DAILY, max_null=1.0).drop("d")
+    return rounded(d.withColumn(_RATIO, round_sig(F.col(_RATIO))), 4, **{_RATIO: 0})

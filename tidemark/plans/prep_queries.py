@@ -66,9 +66,9 @@ def variance_rank(spark, sf_dir):
     return L.rank_scores(v, WD_COLS, "score")
 
 
-_MI_COLS = ["V1", "V2", "M1", "M2", "S1", "P1", "I2", "E1"]
-_MI_SQL = with_(WIDE_DAILY, "z AS (SELECT " + ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _MI_COLS)
-                + ", COALESCE(target, 0.0) AS y FROM wide_daily), q AS (SELECT " + ", ".join(
+_MI_COLS = WD_COLS
+_MI_SQL = with_(WIDE_DAILY, "z AS (SELECT " + ", ".join(f"COALESCE(ROUND({c}, 9), 0.0) AS {c}" for c in _MI_COLS)
+                + ", COALESCE(ROUND(target, 9), 0.0) AS y FROM wide_daily), q AS (SELECT " + ", ".join(
     f"QUANTILE_CONT({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q_{c}" for c in _MI_COLS + ["y"])
     + " FROM z), lng AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column, LEN(LIST_FILTER(q_{c}, lambda t: t < {c})) AS bx, LEN(LIST_FILTER(q_y, lambda t: t < y)) AS bin_y"
@@ -78,17 +78,19 @@ m AS (SELECT *, SUM(nxy) OVER (PARTITION BY "column") AS n, SUM(nxy) OVER (PARTI
              SUM(nxy) OVER (PARTITION BY "column", bin_y) AS ny FROM j),
 s AS (SELECT "column", SUM(nxy / n * LN(nxy * n / (nx * ny))) AS mi FROM m GROUP BY 1),
 o AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', {i})" for i, c in enumerate(_MI_COLS)) + """) t("column", k))
-SELECT "column", ROUND(mi, 6) AS score, ROW_NUMBER() OVER (ORDER BY mi DESC NULLS LAST, k) AS rank
+SELECT "column", ROUND(mi, 6) AS score, ROW_NUMBER() OVER (ORDER BY ROUND(mi, 9) DESC NULLS LAST, k) AS rank
 FROM s JOIN o USING ("column")""")
 
 
 @query("mi_rank", _MI_SQL)
 def mi_rank(spark, sf_dir):
-    """Binned (decile) mutual information with the target, ranked (L3)."""
-    return rounded(L.feature_scores(wide_daily(spark, sf_dir), _MI_COLS, "target", "mutual_info"))
+    """Binned (decile) mutual information with the target, ranked (L3); ties at
+    nine decimals go to column order."""
+    mi = rounded(L.mutual_info_scores(rounded(wide_daily(spark, sf_dir), 9), _MI_COLS, "target").withColumnRenamed("mutual_info", "score"), 9)
+    return rounded(L.rank_scores(mi, _MI_COLS, "score"))
 
 
-_SC_COLS = ["E1", "V1", "M1", "S1", "P1", "I2"]
+_SC_COLS = WD_COLS
 _SC_SQL = with_(WIDE_DAILY, """
 sp AS (SELECT *, CASE WHEN date_id < FLOOR((SELECT COUNT(*) FROM wide_daily) * 0.8) THEN 'train' ELSE 'test' END
               AS split FROM wide_daily),

@@ -255,7 +255,7 @@ def corr_rank(spark, sf_dir):
     return c.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-_CM_COLS = ["E1", "E2", "V1", "V2", "M1", "M2", "S1", "S2", "P1", "P2", "I1", "I3"]
+_CM_COLS = WD_COLS
 _CM_PAIRS = [(a, b) for i, a in enumerate(_CM_COLS) for b in _CM_COLS[i + 1:]]
 _CM_SQL = with_(WIDE_DAILY, "x AS (SELECT * FROM wide_daily WHERE " + " AND ".join(
     f"{c} IS NOT NULL" for c in _CM_COLS) + ")") + "\n" + _union(
@@ -271,7 +271,7 @@ def corr_matrix(spark, sf_dir):
 _CP_SQL = with_(WIDE_DAILY, "x AS (SELECT * FROM wide_daily WHERE " + " AND ".join(
     f"{c} IS NOT NULL" for c in _CM_COLS) + "), m AS (" + _union(
     f"SELECT '{a}' AS a, '{b}' AS b, CORR({a}, {b}) AS corr FROM x" for a, b in _CM_PAIRS) + ")") + \
-    "\nSELECT a, b, ROUND(corr, 6) AS corr FROM m WHERE ABS(corr) > 0.8"
+    "\nSELECT a, b, ROUND(corr, 6) AS corr FROM m WHERE NOT ISNAN(corr) AND ABS(corr) > 0.8"
 
 
 @query("corr_pairs", _CP_SQL)

@@ -3,6 +3,7 @@ the DuckDB oracle text that must give the same rows."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,6 +99,23 @@ def portable_round(sql: str) -> str:
         i = k
 
 
+def unrounded(sql: str) -> str:
+    """An oracle text with every ``ROUND(expr, d)`` replaced by ``expr``, for use
+    inside a larger one that rounds at its end."""
+    out, i = [], 0
+    for m in re.finditer(r"(?<!\w)ROUND\(", sql):
+        if m.start() < i:
+            continue
+        depth, k, comma = 1, m.end(), None
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            comma = k if sql[k] == "," and depth == 1 else comma
+            k += 1
+        out += [sql[i:m.start()], "(", unrounded(sql[m.end():comma]), ")"]
+        i = k
+    return "".join(out) + sql[i:]
+
+
 def round_sig(c, digits: int = 10):
     """Round to ``digits`` significant digits (same expression as
     ``sig_sql``): for scores spanning many orders of magnitude."""

@@ -121,7 +121,7 @@ def rolling_pct_rank(spark, sf_dir):
 
 
 # --- RSI (W13) -------------------------------------------------------------------------
-def _rsi_sql(n):
+def rsi_sql(n):
     g, lo = f"AVG(gain) OVER w{n}", f"AVG(loss) OVER w{n}"
     return (f"CASE WHEN COUNT(*) OVER w{n} >= {n} THEN CASE WHEN {lo} > 0 THEN 100.0 - 100.0 / (1.0 + {g} / {lo}) "
             f"WHEN {g} > 0 THEN 100.0 END END")
@@ -131,7 +131,7 @@ _RSI_SQL = with_(DAILY_MARKET, """
 dd AS (SELECT date_id, forward_returns - LAG(forward_returns) OVER (ORDER BY date_id) AS delta FROM daily_market),
 gl AS (SELECT date_id, COALESCE(GREATEST(delta, 0.0), 0.0) AS gain, COALESCE(GREATEST(-delta, 0.0), 0.0) AS loss
        FROM dd)""") + "\nSELECT date_id, " + ", ".join(
-    f"ROUND({_rsi_sql(n)}, 6) AS forward_returns_rsi_{n}" for n in (7, 14, 21)) + \
+    f"ROUND({rsi_sql(n)}, 6) AS forward_returns_rsi_{n}" for n in (7, 14, 21)) + \
     f"\nFROM gl WINDOW {frames_sql('', 'date_id', (7, 14, 21))}"
 
 

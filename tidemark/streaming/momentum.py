@@ -14,40 +14,40 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tidemark.streaming.serving import EpochSink
+
 OUT_SCHEMA = "key long, pos long, allocation double, late boolean"
 STATE_SCHEMA = "history array<double>, last_pos long"
 
 
 def _momentum_fn(n: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            hist, last = state.get
-            hist = list(hist)
-        else:
-            hist, last = [], None
-        # micro-batch rows of one key, in order (bounded by the batch size)
-        pdf = pd.concat(list(pdfs)).sort_values("pos")
-        pos, alloc, late = [], [], []
-        for p, v in zip(pdf["pos"].tolist(), pdf["value"].tolist()):
-            if last is not None and p <= last:
-                pos.append(p), alloc.append(None), late.append(True)
-                continue
-            if len(hist) >= n:
-                m = sum(hist[-n:]) / n
-                a = 1.5 if m > 0 else 0.5
-            else:
-                a = 1.0
-            pos.append(p), alloc.append(a), late.append(False)
-            if v is not None and v == v:
-                hist = (hist + [float(v)])[-n:]
-            last = p
-        state.update((hist, last))
-        yield pd.DataFrame({"key": [key[0]] * len(pos), "pos": pos, "allocation": alloc, "late": late})
+        """The rows of one key in a micro-batch, in order, behind the kept values."""
+        hist, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
+        pdf = pd.concat(list(pdfs)).sort_values("pos", kind="stable")
+        pos = pdf["pos"].to_numpy(np.int64)
+        late = np.append(False, pos[1:] == pos[:-1])
+        if last is not None:
+            late |= pos <= last
+        value = pdf["value"].to_numpy(np.float64)[~late]
+        known = ~np.isnan(value)
+        seen = np.concatenate([np.array(hist, np.float64), value[known]])
+        before = len(hist) + np.cumsum(known) - known  # values seen before each row
+        up = np.lib.stride_tricks.sliding_window_view(seen, n).sum(axis=1) > 0 if len(seen) >= n else np.empty(0, bool)
+        ready = before >= n
+        made = np.ones(len(value))
+        made[ready] = np.where(up[before[ready] - n], 1.5, 0.5)
+        alloc = np.full(len(pos), None, object)
+        alloc[~late] = made
+        if len(value):
+            state.update((seen[-n:].tolist(), int(pos[~late][-1])))
+        yield pd.DataFrame({"key": np.full(len(pos), key[0], object), "pos": pos, "allocation": alloc, "late": late})
 
     return fn
 
@@ -61,23 +61,21 @@ def momentum_stream(sdf: DataFrame, key: str, order: str, value: str, n: int = 5
         _momentum_fn(n), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_stream(sdf: DataFrame, sink_path: str, checkpoint: str, quarantine_path: str | None = None,
-               trigger_available_now: bool = True):
-    """Drive the stream with ``foreachBatch``: good rows are appended
-    to the Parquet sink, late rows to the quarantine sink; the checkpoint
-    makes every micro-batch exactly-once across restarts."""
+def run_stream(sdf: DataFrame, sink: EpochSink, checkpoint: str) -> None:
+    """Runs the stream to its end.  Good rows and late rows of a
+    micro-batch are committed together, once per epoch: a replayed epoch adds
+    nothing."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        good = batch.filter(~F.col("late")).drop("late")
-        good.write.mode("append").parquet(sink_path)
-        if quarantine_path is not None:
-            batch.filter(F.col("late")).write.mode("append").parquet(quarantine_path)
-
-    w = sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger_available_now else w
-    q = w.start()
-    q.awaitTermination()
-    return q
+        if sink.committed(epoch):
+            return
+        batch = batch.persist()
+        try:
+            sink.write({"good": batch.where(~F.col("late")).drop("late"), "late": batch.where("late").drop("late")}, epoch)
+        finally:
+            batch.unpersist()
+
+    sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def validate_batch(pred: DataFrame, ids: DataFrame, key: str, batch: str) -> DataFrame:
