@@ -1,14 +1,15 @@
 """Spelling variants: words one edit apart, found by a relational trie frontier.
 
 The edge table holds one row per trie node (a prefix that some word has) with
-its edges: the next character, the characters that may follow it (two bit sets,
-one of a-z and one of U+00C0 to U+00FF), and the count of the word that ends
-there.  States ``(word, position, node, edits)`` are joined with it level by
-level, one trie depth a level.  Each state takes the edge of its own next
-character; without an edit so far it also takes the other edges, as a replaced
-or an inserted character, and the edge behind its next character, as a deleted
-one.  A state is made only if its own next character follows the edge; one that
-ends its word after one edit, at a node that is a word, is a pair.
+its edges: the next letter, a signature of the tails of all words behind it, and
+the count of the word that ends there.  States ``(word, position, node, edits)``
+are joined with it level by level, one trie depth a level.  Each state takes the
+edge of its own next letter; without an edit so far it also takes the other
+edges, as a replaced or an inserted letter, and the edge behind its next letter,
+as a deleted one.  An edited state must still match the rest of its word, so it
+is made only if the signature may hold that tail (a signature errs only by
+letting a state through, which then finds no edge); one that ends its word at a
+node that is a word is a pair.
 
 One edit leaves the first half of a word whole or the second.  So there are two
 tries in the table, of words (marked ``>``) and of reversed words (``<``), and
@@ -26,6 +27,9 @@ joined and every pair is verified letter by letter.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,12 +39,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
-#: Fixed by the contract: the letters of a run (ASCII and Latin-1), and those that are lower-cased.
-LETTERS = "A-Za-zÀ-ÿ"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LETTERS = "A-Za-zÀ-ÿ"  # fixed by the contract: the letters of a run
 
 
-def word_counts(docs: DataFrame, least_chars: int = 7, least_n: int = 2, one_in: int = 31) -> DataFrame:
+def word_counts(docs: DataFrame, least_chars: int = 7, least_n: int = 2, one_in: int = 31, most_kept: int = 100_000) -> DataFrame:
     """``word, n`` of the words of all texts (``doc_id, text``).
 
     A run of letters, lower-cased, loses the letter ``h % length`` where
@@ -48,15 +50,38 @@ def word_counts(docs: DataFrame, least_chars: int = 7, least_n: int = 2, one_in:
     the colon for a null id).  Results of ``least_chars`` letters that occur
     ``least_n`` times or more are words; shorter runs never become one, so they
     are not taken out of the text.  Null and empty texts have no words; each
-    repeated row counts."""
-    run = F.explode(F.regexp_extract_all(F.col("text"), F.lit("[%s]{%d,}" % (LETTERS, least_chars)), F.lit(0)))
-    runs = docs.select(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":")).alias("id"), run.alias("run"))
-    runs = runs.select("id", F.translate("run", UPPER, LOWER).alias("run"))
-    runs = runs.select("run", F.crc32(F.concat("id", "run")).alias("h"), F.length("run").alias("len"))
-    at = (F.col("h") % F.col("len")).cast("int")
-    cut = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
-    word = F.when(F.col("h") % one_in == 0, cut).otherwise(F.col("run"))
-    counts = runs.select(word.alias("word")).where(F.length("word") >= least_chars).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    repeated row counts.  Each task adds up its words before the shuffle and
+    passes them on whenever it holds ``most_kept`` different ones."""
+    run = re.compile("[%s]{%d,}" % (LETTERS, least_chars))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: defaultdict[str, int] = defaultdict(int)
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
+
+        for rows in batches:
+            for doc, text in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                if not text.is_valid:
+                    continue
+                low = text.as_buffer().to_pybytes().lower().decode()  # bytes: only A-Z
+                start = zlib.crc32(f"{'' if doc is None else doc}:".encode())
+                found = run.findall(low) if len(low) < 1 << 20 else (m.group() for m in run.finditer(low))
+                for word, n in Counter(found).items():
+                    h = zlib.crc32(word.encode(), start)
+                    if h % one_in == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1:]
+                        if len(word) < least_chars:
+                            continue
+                    kept[word] += n
+                if len(kept) >= most_kept:
+                    yield batch()
+                    kept.clear()
+        if kept:
+            yield batch()
+
+    counts = docs.select("doc_id", "text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") >= least_n)
 
 
@@ -70,56 +95,55 @@ def _oriented(words: DataFrame) -> DataFrame:
     return words.select("n", size.alias("len"), both.alias("o")).select("o.w", "n", "len", "o.begin")
 
 
-def _bit(c: Column, first: int, last: int) -> Column:
-    """The bit of a letter in the set of the code points first..last, else 0."""
-    code = F.ascii(c)
-    return F.when(code.between(first, last), F.call_function("shiftleft", F.lit(1).cast("long"), code - first)).otherwise(F.lit(0).cast("long"))
+TAILS = 4  # words of 64 bits of a node's signature
 
 
-def _has(c: Column, low: Column, high: Column) -> Column:
-    return (low.bitwiseAND(_bit(c, 97, 122)) != 0) | (high.bitwiseAND(_bit(c, 192, 255)) != 0)
+def _tail(rest: str) -> str:
+    """SQL of the bit of a signature for the letters behind a node."""
+    return f"CAST(xxhash64({rest}) & {64 * TAILS - 1} AS INT)"
 
 
 def trie_nodes(oriented: DataFrame, shallowest: int) -> DataFrame:
     """``depth, node, kids`` of every prefix of at least ``shallowest`` letters
-    that goes on; ``kids`` holds for each next letter ``c`` the sets ``low``,
-    ``high`` of letters behind it and the count ``n`` of the word that it ends."""
+    that goes on; ``kids`` maps the code point of each next letter to the
+    signature ``t0``.. of the tails of all words below it, and the count ``n`` of
+    the word that it ends."""
     spread = oriented.select("w", "n", "len", F.explode(F.sequence(F.lit(shallowest), F.col("len"))).alias("depth"))
-    c = F.substr("w", F.col("depth") + 2, F.lit(1))
-    steps = spread.select("depth", F.substr("w", F.lit(1), F.col("depth") + 1).alias("node"), _bit(c, 97, 122).alias("low"), _bit(c, 192, 255).alias("high"),
-                          F.when(F.col("depth") == F.col("len"), F.col("n")).alias("n"))
-    heads = steps.groupBy("depth", "node").agg(F.bit_or("low").alias("low"), F.bit_or("high").alias("high"), F.max("n").alias("n"))
-    up = heads.where(F.col("depth") > shallowest).groupBy((F.col("depth") - 1).alias("depth"), F.substr("node", F.lit(1), F.col("depth")).alias("node"))
-    return up.agg(F.collect_list(F.struct(F.substr("node", F.col("depth") + 1, F.lit(1)).alias("c"), "low", "high", "n")).alias("kids"))
+    steps = spread.selectExpr("depth", "substr(w, 1, depth + 1) AS node", f"{_tail('substr(w, depth + 2)')} AS tail", "CASE WHEN depth = len THEN n END AS n")
+    bits = [f"CASE WHEN tail >> 6 = {i} THEN shiftleft(1L, tail & 63) ELSE 0L END AS t{i}" for i in range(TAILS)]
+    heads = steps.selectExpr("depth", "node", *bits, "n").groupBy("depth", "node").agg(*[F.bit_or(f"t{i}").alias(f"t{i}") for i in range(TAILS)], F.max("n").alias("n"))
+    kid = f"struct({', '.join(f't{i}' for i in range(TAILS))}, n) AS kid"
+    up = heads.where(F.col("depth") > shallowest).selectExpr("depth - 1 AS depth", "substr(node, 1, depth) AS node", "ascii(substr(node, depth + 1, 1)) AS c", kid)
+    return up.groupBy("depth", "node").agg(F.map_from_entries(F.collect_list(F.struct("c", "kid"))).alias("kids"))
 
 
-def _moves() -> Column:
-    """What a state becomes by the edge ``k``: an array of ``p, edits, m``,
-    where ``m`` is the count of the word that is found.
+def _goes(p2: str, tail: str) -> str:
+    """SQL of whether some word behind the edge ``kid`` may have the tail."""
+    pick = " ".join(f"WHEN {i} THEN kid.t{i}" for i in range(TAILS))
+    return f"((CASE {tail} >> 6 {pick} END & shiftleft(1L, {tail} & 63)) <> 0 AND ({p2} < len OR kid.n IS NOT NULL))"
+
+
+def _unedited(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """What states without an edit become at the next level: all edges count.
 
     Within a run of one letter only one place counts: a letter is inserted at
     the end of the run and the last one is deleted, so a trie gives no pair twice."""
-    p, size, c = F.col("p"), F.col("len"), F.col("k.c")
-
-    def own(i: Column) -> Column:
-        return F.substr("w", i + 2, F.lit(1))
+    own = states.selectExpr("w", "n", "len", "p", "node", *[f"ascii(substr(w, p + {i + 2}, 1)) AS c{i}" for i in range(2)], *[f"{_tail(f'substr(w, p + {i + 2})')} AS g{i}" for i in range(3)])
+    met = own.join(edges, "node").select(*own.columns, F.explode("kids").alias("c", "kid"))
+    met = met.selectExpr("*", "c = c0 AS same", f"c <> c0 AND p < len AND {_goes('p + 1', 'g1')} AS replaced", f"c <> c0 AND {_goes('p', 'g0')} AS inserted",
+                         f"c <> c0 AND p + 1 < len AND c = c1 AND {_goes('p + 2', 'g2')} AS deleted").where("same OR replaced OR inserted OR deleted")
+    moves = F.expr("explode(array(IF(same, 0, NULL), IF(replaced, 1, NULL), IF(inserted, 2, NULL), IF(deleted, 3, NULL))) AS move")
+    made = met.select("w", "n", "len", "p", "node", "c", "kid", moves).where("move IS NOT NULL")
+    made = made.selectExpr("w", "n", "len", "concat(node, char(c)) AS node", "p + CASE move WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS p", "IF(move = 0, 0, 1) AS edits", "kid.n AS m")
+    # a node one letter short of its word is the word without its last letter
+    return made.selectExpr("w", "n", "len", "p", "node", "edits", "IF(p = len - 1 + edits, m, NULL) AS m")
 
-    def to(cond: Column, p2: Column) -> Column:
-        """One edit made, the next letter at ``p2``."""
-        ends = p2 == size
-        goes = (ends & F.col("k.n").isNotNull()) | (~ends & _has(own(p2), F.col("k.low"), F.col("k.high")))
-        return F.when(cond & goes, F.struct(p2.cast("int").alias("p"), F.lit(1).alias("edits"), F.when(ends, F.col("k.n")).alias("m")))
 
-    same, fresh = (p < size) & (own(p) == c), F.col("edits") == 0
-    # a node one letter short of the word is the word without its last letter
-    on = F.struct((p + 1).cast("int").alias("p"), F.lit(0).alias("edits"), F.when(p + 2 == size, F.col("k.n")).alias("m"))
-    return F.array_compact(F.array(
-        F.when(fresh & same, on),
-        to(same & ~fresh, p + 1),
-        to(fresh & ~same & (p < size), p + 1),  # replaced
-        to(fresh & ~same, p),  # inserted
-        to(fresh & ~same & (p + 1 < size) & (own(p + 1) == c), p + 2),  # deleted
-    ))
+def _edited(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """What states with an edit become: they take their own letter's edge."""
+    met = states.join(edges, "node").selectExpr("w", "n", "len", "p + 1 AS p", "node", "ascii(substr(w, p + 2, 1)) AS c", f"{_tail('substr(w, p + 3)')} AS g", "kids")
+    met = met.selectExpr("w", "n", "len", "p", "concat(node, char(c)) AS node", "element_at(kids, c) AS kid", "g").where(_goes("p", "g"))
+    return met.selectExpr("w", "n", "len", "p", "node", "1 AS edits", "IF(p = len, kid.n, NULL) AS m")
 
 
 def _plain(w: str) -> Column:
@@ -128,7 +152,7 @@ def _plain(w: str) -> Column:
     return F.when(F.startswith(F.col(w), F.lit(">")), bare).otherwise(F.reverse(bare))
 
 
-def frontier_pairs(words: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
+def frontier_pairs(words: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
     """``word, n, other, m``: all words one edit apart, both ways, with their
     counts; ``words`` (``word, n``) holds each word once."""
     oriented = staged(_oriented(words), "oriented")
@@ -138,20 +162,18 @@ def frontier_pairs(words: DataFrame, most_broadcast: int = 50_000) -> DataFrame:
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = staged(trie_nodes(oriented, low).repartitionByRange(parts, "depth", "node"), "trie")
     sizes = dict(nodes.groupBy("depth").count().collect())  # a number per level
-    begun = oriented.select("w", "n", "len", F.col("begin").alias("p"), F.substr("w", F.lit(1), F.col("begin") + 1).alias("node"), F.lit(0).alias("edits"))
-    states, pairs = None, []
-    along, became = F.explode("kids").alias("k"), F.explode(_moves()).alias("t")  # expressions of every level
+    begun = oriented.selectExpr("w", "n", "len", "begin AS p", "substr(w, 1, begin + 1) AS node")
+    fresh, gone, pairs = None, None, []
     for depth in range(low, top + 1):
         new = begun.where(f"p = {depth}")
-        states = new if states is None else states.union(new)
         edges = nodes.where(f"depth = {depth}").select("node", "kids")
         if sizes.get(depth, 0) <= most_broadcast:
             edges = F.broadcast(edges)
-        met = states.join(edges, "node").select("w", "n", "len", "p", "edits", "node", along)
-        level = met.selectExpr("w", "n", "len", "p", "edits", "concat(node, k.c) AS node", "k").select("w", "n", "len", "node", became)
-        level = staged(level.selectExpr("w", "n", "len", "t.p", "node", "t.edits", "t.m"), "frontier")
+        level = _unedited(new if fresh is None else fresh.union(new), edges)
+        level = staged(level if gone is None else level.union(_edited(gone, edges)), "frontier")
         pairs.append(level.where("m IS NOT NULL").select("w", "n", "node", "m"))
-        states = level.where("edits = 0 OR m IS NULL").select("w", "n", "len", "p", "node", "edits")
+        states = level.select("w", "n", "len", "p", "node")
+        fresh, gone = (level.where(cond).select(*states.columns) for cond in ("edits = 0", "edits = 1 AND m IS NULL"))
     found = reduce(DataFrame.union, pairs)
     return found.select(_plain("w").alias("word"), "n", _plain("node").alias("other"), "m").distinct()
 
@@ -203,7 +225,7 @@ def long_pairs(words: DataFrame) -> DataFrame:
     return staged(good.union(good.select("other", "m", "word", "n")), "long-pairs")
 
 
-def near_words(words: DataFrame, max_levels: int = 48, most_broadcast: int = 50_000) -> DataFrame:
+def near_words(words: DataFrame, max_levels: int = 48, most_broadcast: int = 200_000) -> DataFrame:
     """``word, n, other, m``: every pair of words one edit apart, both ways."""
     words = staged(words.select("word", "n"), "words")
     size = F.length("word")
