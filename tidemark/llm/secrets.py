@@ -5,8 +5,11 @@ A candidate is a run of 20 or more characters of keys and tokens.  A window of
 ``WINDOW`` characters slides over it; the counts of its characters are carried
 from one place to the next (one comes in, one goes out), and with them the sum
 ``s`` of ``c * log2(c)``, so the Shannon entropy ``log2(WINDOW) - s / WINDOW``
-costs a few operations a step.  Hexadecimal strings and others have thresholds
-of their own; an allow list of harmless forms suppresses candidates.
+costs a few operations a step.  Hexadecimal strings, strings of letters and
+digits, and strings of letters alone have thresholds of their own.  Candidates
+are sought in what the fixed patterns leave of a text, so a span beside one is
+scanned too.  An allow list suppresses candidates that as a whole have a
+harmless form; a harmless part saves none.
 
 All work is within a row; the table is read once and nothing is shuffled.
 """
@@ -34,15 +37,18 @@ WINDOW = 20
 CLASSES = (
     ("entropy_hex", r"^[0-9A-Fa-f]+$", "0123456789abcdef", 2.9),
     ("entropy_base64", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 3.7),
+    # long names in mixed case repeat letters: 4.0 bits and more need 17 different ones or so of 20
+    ("entropy_letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-=", 4.0),
 )
-#: Harmless candidates: UUIDs, dates and numbers, placeholders, subresource hashes, paths, runs of the alphabet.
+#: Forms of a whole candidate that are harmless: UUIDs, dates and numbers, placeholder words, subresource
+#: hashes, lower-case paths of short names, runs of the alphabet and of digits.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     r"^[0-9_+/=-]+$",
-    r"(?i)example|placeholder|changeme|xxxxx|dummy",
-    r"^sha(1|256|384|512)-",
-    r"^/?([a-z]+/){2,}",
-    r"(?i)abcdefghij|0123456789",
+    r"^(?i:example|placeholder|changeme|dummy|your|my|sample|test|api|access|secret|private|key|token|password|value|here|x{3,}|[0-9_+/=-])+$",
+    r"^sha(1|256|384|512)-[A-Za-z0-9+/]+={0,2}$",
+    r"^/?([a-z][a-z0-9_-]{0,15}/)+[a-z0-9_-]{0,16}$",
+    r"^(?i:abcdefghij[k-z]*|klmnopqrst[u-z]*|0123456789|1234567890|[_+/=-])+$",
 )
 KINDS = [b[0] for b in BASE] + [c[0] for c in CLASSES]
 
@@ -96,8 +102,20 @@ def _base(text: Column, kind: int) -> Column:
     return F.when(text.rlike(HINT[name]), found).otherwise(none)
 
 
+def _masked(text: Column, base: Column) -> Column:
+    """The text with spaces in place of its base spans."""
+    def step(s, b):
+        begin = F.greatest(b["start"], s["at"])
+        kept = F.substr(text, s["at"] + 1, F.greatest(begin - s["at"], F.lit(0)))
+        return F.struct(F.greatest(b["end"], s["at"]).alias("at"), F.concat(s["out"], kept, F.repeat(F.lit(" "), F.greatest(b["end"] - begin, F.lit(0)))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(F.array_sort(base), start, step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    return F.when(F.size(base) == 0, text).otherwise(whole)
+
+
 def _entropic(text: Column, base: Column) -> Column:
-    """Candidates of high entropy that are not allowed and overlap no base span."""
+    """Candidates of high entropy that are not allowed, outside of base spans."""
     def verdict(m):
         kind = F.lit(None).cast("int")
         for i, (_, form, alphabet, bits) in reversed(list(enumerate(CLASSES))):
@@ -107,9 +125,8 @@ def _entropic(text: Column, base: Column) -> Column:
         return F.struct(m["start"].alias("start"), kind.alias("kind"), m["end"].alias("end"))
 
     allowed = lambda m: m["value"].rlike("|".join(f"(?:{a})" for a in ALLOW))
-    free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    found = F.filter(F.transform(F.filter(located(text, CANDIDATE), lambda m: ~allowed(m) & free(m)), verdict), lambda s: s["kind"].isNotNull())
+    found = let(_masked(text, base), lambda t: F.filter(F.transform(F.filter(located(t, CANDIDATE), lambda m: ~allowed(m)), verdict), lambda s: s["kind"].isNotNull()))
     return F.when(text.rlike(CANDIDATE), found).otherwise(none)
 
 
