@@ -51,7 +51,7 @@ STAGES = [
     ("token records", token_output),
 ]
 
-#: Tokenization and the robust estimates have no SQL form; the tests compare with a brute-force run.
+#: Tokenization and the robust estimates have no SQL form; the tests compare counts and columns stage by stage.
 ORACLE_SQL = None
 
 
