@@ -268,11 +268,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise correlations on listwise-complete rows, long form
     ``(a, b, corr)`` for a < b in column order (A13).  The pair list is
     over columns (a schema property), not rows."""
-    d = df.dropna("any", subset=list(cols))
+    d = df.dropna("any", subset=list(cols)).select(*[F.col(c).cast("double").alias(c) for c in cols])
+    at = {c: i for i, c in enumerate(cols)}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    aggs = [safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
-    wide = d.agg(*aggs)
-    rows = ", ".join(f"'{a}', '{b}', `p{i}`" for i, (a, b) in enumerate(pairs))
+    wide = d.agg(*[F.covar_samp(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[F.stddev_samp(c).alias(f"s{i}") for c, i in at.items()])
+    rows = ", ".join(f"'{a}', '{b}', try_divide(p{i}, s{at[a]} * s{at[b]})" for i, (a, b) in enumerate(pairs))
     return wide.selectExpr(f"stack({len(pairs)}, {rows}) as (a, b, corr)")
 
 
