@@ -3,30 +3,34 @@ outliers per language and source (DataFrame functions only).
 
 Five statistics of a text, transformed to be roughly symmetric, form a vector.
 For every (language, source) the minimum-covariance-determinant estimate of its
-centre and scatter is approached by concentration steps from a start at the
-medians (the deterministic variant): keep the ``H`` share of documents nearest
-by Mahalanobis distance, estimate anew from them, repeat.  A document whose
-robust distance is above the cutoff is rejected.
-
-Each step is two aggregations over a narrow staged table.  The nearest share is
-cut from a histogram of distances (a few hundred bins a group), so no group is
-sorted or gathered.  Statistics are kept in whole steps of 0.0001 and summed as
-decimals, hence reruns agree.
+centre and scatter is searched by concentration steps from four deterministic
+starts: keep the ``H`` share of documents nearest by Mahalanobis distance,
+estimate anew from them, repeat until the determinant settles; the start with
+the least determinant wins.  A document whose robust distance is above the
+group's cutoff is rejected.
+
+Each step is one aggregation over a narrow staged table, by bins of distance (a
+few hundred a group), so no group is sorted or gathered.  Statistics are kept in
+whole steps of 0.0001 and summed as decimals, hence reruns agree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, staged, words
+from tidemark.llm.common import let, small, staged, words
 
 #: Names of the vector's entries and the smallest spread that each is given.
 VECTOR = {"x1": 0.3, "x2": 0.05, "x3": 0.05, "x4": 0.1, "x5": 0.1}
 UNIT = 10_000  # steps to 1 in the stored vector
+PRIOR = 20  # words of five letters added to each text's mean word length
 H = 0.75  # share of documents that the estimate rests on
-MEDIAN5 = 4.3515  # median of chi-square with five degrees of freedom
-OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+CHI5 = (2.6746, 4.3515, 6.6257)  # quartiles of chi-square with five degrees of freedom
+MOST_GROUPS = 100_000  # groups (a row of some 30 numbers each) that are broadcast
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "cutoff", "kept")
 
 
 def _doubled(h: Column, other: Column, d: int) -> Column:
@@ -71,34 +75,72 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 def _vector() -> dict[str, Column]:
     """The transformed statistics, in whole steps: logarithms of length and mean
     word length, square roots of the shares of symbols, repeated lines and
-    repeated words."""
+    repeated words.  The mean word length of a few words scatters widely, so it
+    is drawn to five letters by ``PRIOR`` words of that length."""
     c = F.col
     share = lambda a, b: F.sqrt(c(a) / (c(b) + 1))
-    exact = [F.log(c("n_words") + 1.0), F.log((c("word_chars") + 1) / (c("n_words") + 1)), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
+    exact = [F.log(c("n_words") + 1.0), F.log((c("word_chars") + 5 * PRIOR) / (c("n_words") + PRIOR)), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")]
     return {k: F.floor(x * UNIT + 0.5).cast("long") for k, x in zip(VECTOR, exact, strict=True)}
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Per group: ``n``, medians as centre and quartile spreads as scatter,
-    from histograms with steps of 0.01."""
+def _pairs() -> list[tuple[str, str]]:
+    names = list(VECTOR)
+    return [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
+
+
+def _per_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with their group's columns: a group that holds a third of all
+    rows is no join key while there are at most ``MOST_GROUPS`` groups."""
+    return rows.join(small(groups, MOST_GROUPS), "g")
+
+
+def _middle(rows: DataFrame) -> DataFrame:
+    """Per group: ``n``, medians ``m_*`` and spreads ``s_*`` (of the quartiles,
+    raised to their least values), from histograms with steps of 0.01."""
     tall = rows.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(k) / 100).alias("bin")) for k in VECTOR])).alias("x")).select("g", "x.*")
     bins = tall.groupBy("g", "k", "bin").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("g", "k").orderBy("bin")
     bins = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("g", "k")))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, (F.col("bin") + 0.5) / 100))
     spread = bins.groupBy("g", "k").agg(F.max("all").alias("n"), at(0.25).alias("q1"), at(0.5).alias("m"), at(0.75).alias("q3"))
-    return spread.groupBy("g").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("k") == k, F.col("m"))).alias(f"m_{k}") for k in VECTOR], *[
-        F.max(F.when(F.col("k") == k, F.pow((F.col("q3") - F.col("q1")) / 1.349, F.lit(2.0)))).alias(f"c_{k}_{k}") for k in VECTOR]).withColumns(
-        {f"c_{a}_{b}": F.lit(0.0) for i, a in enumerate(VECTOR) for b in list(VECTOR)[:i]})
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    wide = spread.withColumn("s", (F.col("q3") - F.col("q1")) / 1.349)
+    return wide.groupBy("g").agg(F.max("n").alias("n"), *[of(k, "m").alias(f"m_{k}") for k in VECTOR],
+                                 *[F.greatest(of(k, "s"), F.lit(v)).alias(f"s_{k}") for k, v in VECTOR.items()])
+
+
+def _starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """Per group and start ``s``: centre and scatter to begin with.  All begin
+    at the medians, with the quartile spreads and a correlation of: nothing (0),
+    hyperbolic tangents (1), signs (2), spatial signs (3) of the scaled rows."""
+    z = {k: (F.col(k) / UNIT - F.col(f"m_{k}")) / F.col(f"s_{k}") for k in VECTOR}
+    scaled = _per_group(rows, middle).select("g", *[z[k].alias(k) for k in VECTOR])
+    scaled = scaled.withColumn("r", F.sqrt(sum((F.col(k) * F.col(k) for k in VECTOR), F.lit(0.0))))
+    forms = {1: lambda k: F.tanh(F.col(k)), 2: lambda k: F.signum(F.col(k)),
+             3: lambda k: F.when(F.col("r") > 0, F.col(k) / F.col("r")).otherwise(0.0)}
+    whole = lambda x: F.floor(x * UNIT * UNIT + 0.5).cast("decimal(18,0)")  # noqa: E731  sums do not hang on the order of rows
+    sums = scaled.groupBy("g").agg(*[F.sum(whole(f(a) * f(b))).cast("double").alias(f"p{s}_{a}_{b}") for s, f in forms.items() for a, b in _pairs()])
+
+    def scatter(s: int, a: str, b: str) -> Column:
+        own = F.col(f"s_{a}") * F.col(f"s_{b}")
+        if a == b:
+            return own
+        if s == 0:
+            return F.lit(0.0)
+        r = F.try_divide(F.col(f"p{s}_{a}_{b}"), F.sqrt(F.col(f"p{s}_{a}_{a}") * F.col(f"p{s}_{b}_{b}")))
+        return own * F.coalesce(r, F.lit(0.0))
+
+    each = [F.struct(F.lit(s).alias("s"), *[scatter(s, a, b).alias(f"c_{a}_{b}") for a, b in _pairs()]) for s in (0, *forms)]
+    return middle.join(sums, "g").select("g", *[f"m_{k}" for k in VECTOR], F.explode(F.array(*each)).alias("e")).select("g", *[f"m_{k}" for k in VECTOR], "e.*")
 
 
 def _inverted(groups: DataFrame) -> DataFrame:
     """Adds the inverse ``w_*`` of the scatter's Cholesky factor, so that the
-    squared distance is a plain sum of squares.  Spreads are raised to their
-    least values first, which keeps the scatter regular where a statistic is
-    constant."""
+    squared distance is a plain sum of squares, and ``logdet``, the logarithm of
+    the scatter's determinant.  Variances are raised to their least values
+    first, which keeps the scatter regular where a statistic is constant."""
     names = list(VECTOR)
-    cov = {(a, b): F.col(f"c_{a}_{b}") + (F.lit(VECTOR[a] ** 2) if a == b else F.lit(0.0)) for i, a in enumerate(names) for b in names[: i + 1]}
+    cov = {(a, b): F.greatest(F.col(f"c_{a}_{b}"), F.lit(VECTOR[a] ** 2)) if a == b else F.col(f"c_{a}_{b}") for a, b in _pairs()}
     out = groups
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
@@ -109,6 +151,7 @@ def _inverted(groups: DataFrame) -> DataFrame:
             b = names[j]
             out = out.withColumn(f"w_{a}_{b}", 1 / F.col(f"l_{a}_{a}") if a == b else
                                  -sum((F.col(f"l_{a}_{k}") * F.col(f"w_{k}_{b}") for k in names[j:i]), F.lit(0.0)) / F.col(f"l_{a}_{a}"))
+    out = out.withColumn("logdet", sum((2 * F.log(F.col(f"l_{a}_{a}")) for a in names), F.lit(0.0)))
     return out.drop(*[c for c in out.columns if c[:2] in ("l_", "c_")])
 
 
@@ -127,48 +170,77 @@ def _bin() -> Column:
     return F.floor(F.log1p("d") * 64).cast("int")
 
 
-def _cut(near: DataFrame, share: float) -> DataFrame:
-    """Per group, the first bin of distance up to which ``share`` of its rows lie."""
-    bins = near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("k"))
-    bins = bins.withColumn("upto", F.sum("k").over(Window.partitionBy("g").orderBy("bin"))).withColumn("all", F.sum("k").over(Window.partitionBy("g")))
-    return bins.where(F.col("upto") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("cut"))
-
-
 def _concentrated(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """One concentration step: the estimate from the nearest ``H`` of each group."""
-    near = rows.join(_inverted(groups), "g").withColumn("d", _distance()).select("g", *VECTOR, _bin().alias("bin"))
-    kept = near.join(_cut(near, H), "g").where("bin <= cut")
+    """One concentration step: per group and start, the estimate from the
+    nearest ``H`` of the rows.  Counts, sums and products are made per bin of
+    distance, in one pass; the bins up to the cut are added up after it."""
     names = list(VECTOR)
+    near = _per_group(rows, groups).withColumn("d", _distance()).select("g", "s", *names, _bin().alias("bin"))
     dec = lambda c: c.cast("decimal(18,0)")
-    sums = kept.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(dec(F.col(a))).alias(f"s_{a}") for a in names], *[
-        F.sum(dec(F.col(a) * F.col(b))).alias(f"p_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]])
+    parts = {"n": F.count(F.lit(1)), **{f"s_{a}": F.sum(dec(F.col(a))) for a in names}, **{f"p_{a}_{b}": F.sum(dec(F.col(a) * F.col(b))) for a, b in _pairs()}}
+    bins = near.groupBy("g", "s", "bin").agg(*[x.alias(k) for k, x in parts.items()])
+    of = Window.partitionBy("g", "s")
+    bins = bins.withColumn("upto", F.sum("n").over(of.orderBy("bin"))).withColumn("all", F.sum("n").over(of))
+    kept = bins.where(F.col("upto") - F.col("n") < F.col("all") * H).groupBy("g", "s").agg(*[F.sum(k).alias(k) for k in parts])
     mean = {a: F.col(f"s_{a}").cast("double") / F.col("n") / UNIT for a in names}
-    return sums.select("g", "n", *[mean[a].alias(f"m_{a}") for a in names], *[
-        (F.col(f"p_{a}_{b}").cast("double") / F.col("n") / UNIT / UNIT - mean[a] * mean[b]).alias(f"c_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]])
-
-
-def robust_estimates(rows: DataFrame, steps: int = 4) -> DataFrame:
-    """Per group ``g``: its size, centre, inverse factor and the ``scale`` that
-    gives distances the median of chi-square."""
-    first = staged(_start(rows), "mcd")
-    groups = first
-    for _ in range(steps):
-        groups = staged(_concentrated(rows, groups), "mcd")
-    inverse = staged(_inverted(groups), "mcd")
-    near = rows.join(inverse, "g").withColumn("d", _distance()).select("g", _bin().alias("bin"))
-    middle = F.greatest(F.expm1((F.col("cut") + 0.5) / 64), F.lit(0.05))
-    scale = _cut(near, 0.5).select("g", (F.lit(MEDIAN5) / middle).alias("scale"))
-    return inverse.drop("n").join(scale, "g").join(first.select("g", "n"), "g")
-
-
-def quality(docs: DataFrame, least_words: int = 10, most_repeat_pct: int = 20, cutoff: float = 500.0,
-            least_group: int = 200, steps: int = 4) -> DataFrame:
+    return kept.select("g", "s", *[mean[a].alias(f"m_{a}") for a in names], *[
+        (F.col(f"p_{a}_{b}").cast("double") / F.col("n") / UNIT / UNIT - mean[a] * mean[b]).alias(f"c_{a}_{b}") for a, b in _pairs()])
+
+
+def _tail(rows: DataFrame, groups: DataFrame, fence: float) -> DataFrame:
+    """Per group the ``scale`` that gives distances the median of chi-square,
+    and ``limit``: on cube roots of the scaled distances, which are nearly
+    normal for normal vectors, ``fence`` quartile ranges above the upper
+    quartile (the outer fence at 3), and never below that of chi-square."""
+    bins = _per_group(rows, groups).withColumn("d", _distance()).groupBy("g", _bin().alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    bins = bins.withColumn("upto", F.sum("k").over(Window.partitionBy("g").orderBy("bin"))).withColumn("all", F.sum("k").over(Window.partitionBy("g")))
+    at = lambda q: F.greatest(F.expm1((F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) + 0.5) / 64), F.lit(0.05))
+    found = bins.groupBy("g").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3")).withColumn("scale", F.lit(CHI5[1]) / F.col("q2"))
+    low, high = F.cbrt(F.col("q1") * F.col("scale")), F.cbrt(F.col("q3") * F.col("scale"))
+    least = [x ** (1 / 3) for x in CHI5]
+    limit = F.greatest(high + fence * (high - low), F.lit(least[2] + fence * (least[2] - least[0])))
+    return found.select("g", "scale", F.pow(limit, F.lit(3.0)).alias("limit"))
+
+
+def robust_estimates(rows: DataFrame, fence: float = 3.0, settled: float = 1e-3) -> DataFrame:
+    """Per group ``g`` its size ``n``, centre ``m_*``, inverse factor ``w_*``,
+    ``logdet``, the steps taken, ``scale`` and ``limit`` (see ``_tail``).
+
+    Every start is concentrated until a step lowers the logarithm of its
+    determinant by less than ``settled``; a start that has settled takes no
+    further steps.  The start with the least determinant is the estimate."""
+    middle = staged(_middle(rows), "mcd-middle")
+    now = staged(_inverted(_concentrated(rows, _inverted(_starts(rows, middle)))).withColumn("steps", F.lit(1)), "mcd")
+    settled_ones, steps = [], 1
+    while True:
+        steps += 1
+        new = _inverted(_concentrated(rows, now)).withColumn("steps", F.lit(steps))
+        was = now.select("g", "s", F.col("logdet").alias("was"))
+        new = staged(new.join(was, ["g", "s"]), "mcd")
+        going = F.col("logdet") < F.col("was") - settled
+        worse = new.where(F.col("logdet") >= F.col("was")).select("g", "s")
+        settled_ones += [now.join(worse, ["g", "s"], "left_semi"), new.where(~going & (F.col("logdet") < F.col("was"))).drop("was")]
+        now = new.where(going).drop("was")
+        if now.isEmpty():
+            break
+    every = reduce(DataFrame.unionByName, settled_ones)
+    place = F.struct("logdet", "s")
+    best = every.groupBy("g").agg(F.min_by(F.struct(*[c for c in every.columns if c != "g"]), place).alias("b")).select("g", "b.*")
+    best = staged(best, "mcd-best")
+    return best.join(_tail(rows, best, fence), "g").join(middle.select("g", "n"), "g")
+
+
+def quality(docs: DataFrame, least_words: int = 10, most_repeat_pct: int = 20, fence: float = 3.0,
+            least_group: int = 200) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text, lang, source``): the counts,
-    ``base_failed``, the robust squared ``distance`` and ``kept``.
+    ``base_failed``, the robust squared ``distance``, the group's ``cutoff`` for
+    it and ``kept``.
 
     Estimates rest on all rows that pass the base rules.  A (language, source)
     with fewer than ``least_group`` of them is measured by its language as a
-    whole, and that, if too small, by all documents.
+    whole, and that, if too small, by all documents.  The cutoff is taken from
+    each group's own distances (``_tail``), as texts have heavier tails than
+    normal vectors.
 
     * null and empty texts have zero counts and fail the base rules;
     * null languages and sources are groups of their own;
@@ -180,14 +252,20 @@ def quality(docs: DataFrame, least_words: int = 10, most_repeat_pct: int = 20, c
     rows = staged(text_statistics(docs).withColumns({"base_failed": base, **_vector()}), "statistics")
     name = lambda *c: F.to_json(F.array(*[F.col(x).cast("string") for x in c])) if c else F.lit("[]")
     rows = rows.withColumns({"g2": name("lang", "source"), "g1": name("lang"), "g0": name()})
-    tall = rows.where(~F.col("base_failed")).select(F.explode(F.array("g2", "g1", "g0")).alias("g"), *VECTOR)
-    found = staged(robust_estimates(tall, steps), "estimates")
-    sizes = found.select("g", "n")
-    rows = rows.join(sizes.select(F.col("g").alias("g2"), F.col("n").alias("k2")), "g2", "left").join(
-        sizes.select(F.col("g").alias("g1"), F.col("n").alias("k1")), "g1", "left")
+    good = rows.where(~F.col("base_failed"))
+    sizes = staged(good.groupBy("g2", "g1", "g0").agg(F.count(F.lit(1)).alias("k2")), "sizes")
+    by_lang = sizes.groupBy("g1").agg(F.sum("k2").alias("k1"), F.min("k2").alias("least2"))
+    least1 = by_lang.agg(F.min("k1")).first()[0]
+    rows = rows.join(small(sizes.select("g2", "k2"), MOST_GROUPS), "g2", "left").join(small(by_lang, MOST_GROUPS), "g1", "left")
     rows = rows.withColumn("g", F.when(F.col("k2") >= least_group, F.col("g2")).when(F.col("k1") >= least_group, F.col("g1")).otherwise(F.col("g0")))
-    judged = rows.join(found, "g", "left").withColumn("distance", _distance() * F.col("scale"))
-    return judged.select("doc_id", "version", *OUT[:6], "distance", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(False))).alias("kept"))
+    # a row counts in its own group, and in those wider ones that a small group needs
+    wider = F.array(F.when(F.col("k2") >= least_group, F.col("g2")), F.when(F.col("least2") < least_group, F.col("g1")),
+                    F.when(F.lit(least1 is not None and least1 < least_group), F.col("g0")))
+    tall = rows.where(~F.col("base_failed")).select(F.explode(F.filter(wider, lambda x: x.isNotNull())).alias("g"), *VECTOR)
+    found = staged(robust_estimates(tall, fence), "estimates")
+    judged = rows.join(small(found.drop("n", "s"), MOST_GROUPS), "g", "left").withColumn("distance", _distance() * F.col("scale"))
+    return judged.withColumn("cutoff", F.col("limit")).select(
+        "doc_id", "version", *OUT[:6], "distance", "cutoff", (~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(False))).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, **limits: float) -> DataFrame:
