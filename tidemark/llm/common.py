@@ -91,6 +91,17 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
+def with_own_columns(docs: DataFrame, used: tuple[str, ...], body: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``body(docs)`` with exactly the columns of ``docs``: those named in
+    ``used`` (in either case) bear other names while ``body`` runs."""
+    taken = {u.lower() for u in used}
+    free = "own_"
+    while any(c.lower().startswith(free) for c in docs.columns):
+        free = "_" + free
+    aside = {c: f"{free}{i}" if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+    return body(docs.toDF(*aside.values())).select(*[F.col(f"`{v}`").alias(c) for c, v in aside.items()])
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; sizes the number of buckets, never the result."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, small, upto
+from tidemark.llm.common import let, small, upto, with_own_columns
 
 SPAN = 13  # words of a benchmark window
 K = 8      # words of a gram
@@ -26,6 +26,9 @@ W = SPAN - K + 1  # grams of a winnowing run
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: At most so many benchmark fingerprints are broadcast (about 30 bytes each).
 BROADCAST_ROWS = 1_000_000
+OUT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+#: Names that ``contamination`` gives to columns.
+MADE = (*OUT, "_h", "_hh", "_id", "_f", "_ids", "al", "n", "occ")
 
 
 def tokens(text: Column) -> Column:
@@ -112,8 +115,7 @@ def contamination(docs: DataFrame, bench: DataFrame, share_inverse: int = 20) ->
     * an empty documents table gives an empty result, an empty benchmark clean
       documents; an input column named like an output column is replaced.
     """
-    out = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    cols = [c for c in docs.columns if c not in out]
+    cols = [c for c in docs.columns if c not in OUT]
     items = bench.select("item_id", tokens(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct()
     short = sorted(r[0] for r in items.select(F.size("iw").alias("n")).where(F.col("n") < SPAN).distinct().collect())
 
@@ -157,5 +159,6 @@ def contamination(docs: DataFrame, bench: DataFrame, share_inverse: int = 20) ->
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return contamination(docs, bench).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents that are not contaminated, with their own columns, also
+    those named like a column that ``contamination`` makes."""
+    return with_own_columns(docs, MADE, lambda d: contamination(d, bench).where(~F.col("contaminated")))

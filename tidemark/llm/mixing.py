@@ -22,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small
+from tidemark.llm.common import small, with_own_columns
 
 OUT = ("size", "source_size", "target", "copies", "taken")
+#: Names that ``mix_sources`` and ``repeated`` give to columns.
+MADE = (*OUT, "_size", "_src", "_source", "_class", "_sub", "_cuts", "_n", "_s", "_before", "_offset", "_rate", "_rank", "_copy", "_h", "_w", "_cap", "_level", "_full_at")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -108,3 +110,9 @@ def repeated(mixed: DataFrame) -> DataFrame:
     cols = [c for c in mixed.columns if c not in OUT]
     return mixed.where(F.col("copies") > 0).select(
         *cols, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*cols)
+
+
+def mixed_documents(docs: DataFrame, size: Column, **options) -> DataFrame:
+    """The mix itself with all columns of ``docs``, also those named like a
+    column that ``mix_sources`` makes; ``size`` must not read one of these."""
+    return with_own_columns(docs, MADE, lambda d: repeated(mix_sources(d, size, **options)))
