@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import n_words, staged, table
 from tidemark.llm.decontaminate import decontaminated
-from tidemark.llm.mixing import mix_sources, repeated
+from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.ngram_join import one_of_each
 from tidemark.llm.quality import kept_documents
 from tidemark.llm.queries import tokenizer_path
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return repeated(mix_sources(docs, n_words(F.col("text"))))
+    return mixed_documents(docs, n_words(F.col("text")))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
