@@ -8,6 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tidemark.operators.series import SeriesSpec  # noqa: E402
+from tidemark.operators.strategy import vol_strategy  # noqa: E402
 from tidemark.operators.windows import acf  # noqa: E402
 from tidemark.streaming.momentum import validate_batch  # noqa: E402
 
@@ -27,3 +28,11 @@ def test_batches_are_validated_by_id(spark):
     pred = spark.createDataFrame([(1, 7, 0.1), (1, 7, 0.2), (2, 9, 1.0), (3, 5, None), (4, 6, 1.0), (5, None, 1.0)], "b long, id long, prediction double")
     got = {r.b: r.valid for r in validate_batch(pred, ids, "id", "b").collect()}
     assert got == {1: False, 2: True, 3: False, 4: False, 5: True}
+
+
+def test_volatility_of_a_row_does_not_hold_its_own_return(spark):
+    df = spark.createDataFrame([(i, float(i * 7 % 11)) for i in range(30)], "i long, x double")
+    now = {r.i: r.rolling_vol for r in vol_strategy(df, SeriesSpec(order="i"), "x", 5, lag_input=0).collect()}
+    late = {r.i: r.rolling_vol for r in vol_strategy(df, SeriesSpec(order="i"), "x", 5).collect()}
+    assert min(now) == 4 and min(late) == 5 and len(late) == 25
+    assert all(late[i] == pytest.approx(now[i - 1], abs=1e-12) for i in late)

@@ -166,12 +166,14 @@ def buy_hold(df: DataFrame, ret, rf, grid: Sequence[float] = (0.5, 1.0, 1.5, 2.0
     return sharpe(df.crossJoin(F.broadcast(g)), "allocation", ret, rf, by=["allocation"], **kw)
 
 
-def vol_strategy(df: DataFrame, spec: SeriesSpec, ret: str, n: int = 20, lag_input: int = 0,
+def vol_strategy(df: DataFrame, spec: SeriesSpec, ret: str, n: int = 20, lag_input: int = 1,
                  out: str = "allocation") -> DataFrame:
     """Volatility strategy (R9): strict rolling std (ddof 1) of ``ret`` over
     ``n`` rows, z-scored with the mean and sample std of that column over
     the whole set, allocation ``clip(1.5 - 0.5 z, 0.2, 2)``; rows without a
-    rolling value are dropped."""
+    rolling value are dropped.  The rolling std ends at the row before
+    (``lag_input=1``) or, with 0, at the row itself, whose return is not known
+    yet where ``ret`` looks forward."""
     src = F.col(ret)
     d = windowed(df, spec, lambda w: [
         (F.lag(F.col(ret), lag_input).over(w) if lag_input else src).alias("__src")], before=lag_input) \

@@ -189,7 +189,7 @@ a AS (SELECT *, LEAST(GREATEST(CAST(1.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) * ((rv
 @query("vol_strategy", _VS_SQL)
 def vol_strategy(spark, sf_dir):
     """Volatility-targeting allocation from the z-scored 20-day std."""
-    a = S.vol_strategy(daily_market(spark, sf_dir), DAILY, "forward_returns", 20)
+    a = S.vol_strategy(daily_market(spark, sf_dir), DAILY, "forward_returns", 20, lag_input=0)
     return rounded(S.sharpe(a, "allocation", "forward_returns", "risk_free_rate"))
 
 
