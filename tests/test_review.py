@@ -1,12 +1,15 @@
 """Cases of the last review: statistics per key and validation by id."""
 
+import math
 import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from tidemark.operators.profile import boxplot, outliers, percentiles, qq_grid  # noqa: E402
 from tidemark.operators.series import SeriesSpec  # noqa: E402
 from tidemark.operators.strategy import vol_strategy  # noqa: E402
 from tidemark.operators.windows import acf  # noqa: E402
@@ -36,3 +39,33 @@ def test_volatility_of_a_row_does_not_hold_its_own_return(spark):
     late = {r.i: r.rolling_vol for r in vol_strategy(df, SeriesSpec(order="i"), "x", 5).collect()}
     assert min(now) == 4 and min(late) == 5 and len(late) == 25
     assert all(late[i] == pytest.approx(now[i - 1], abs=1e-12) for i in late)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString().lower()
+
+
+def spread_out(spark):
+    rows = [(None if i % 11 == 3 else float(i * 37 % 1009) ** 3, float(i % 4)) for i in range(2000)]
+    return spark.createDataFrame(rows, "x double, y double")
+
+
+@pytest.mark.parametrize("cells, few", [(4096, 1 << 17), (64, 3)])
+def test_percentiles_from_counts_equal_those_of_all_values(spark, cells, few):
+    probs, inf = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0), math.inf
+    odd = [inf, -inf, math.nan, 1.0, 2.0, 1.7e308, -1.7e308, 5e-324, 0.0, None]
+    rows = [(odd[i] if i < 10 else None, float(i % 3), float(i * 37 % 101) / 7, None, float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    got = percentiles(df, df.columns, probs, cells, few)
+    for c in df.columns:
+        want = df.agg(F.percentile(c, list(probs))).first()[0] or [None] * len(probs)
+        assert [str(x) for x in got[c]] == [str(x) for x in want]
+
+
+def test_boxplot_gathers_no_values(spark):
+    df = spread_out(spark)
+    assert "percentile" not in plan_of(boxplot(df, "x"))
+    row = boxplot(df, "x").first()
+    want = df.agg(F.percentile("x", [0.25, 0.5, 0.75])).first()[0]
+    assert [row.q1, row.median, row.q3] == want and row.fliers > 0
+    assert boxplot(df.where("x IS NULL"), "x").count() == 0

@@ -7,7 +7,10 @@ codegen size limit) unpivoted with ``stack`` into long form
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,6 +86,63 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], block_
     return met.groupBy("column", "prob").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
 
 
+def percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], cells: int = 4096, few: int = 1 << 17) -> dict[str, list[float | None]]:
+    """Exact interpolated percentiles of each column, as ``F.percentile`` gives
+    them (nulls are left out, NaN is above all; no value: None), from counts
+    alone: no task sees a column's distinct values.
+
+    The rows at the two ranks around each percentile are searched by halving at
+    a larger base.  A round counts the values between the least and the greatest
+    that a rank may have in ``cells`` even cells, and goes on in the cell that
+    holds the rank, until that has one value; where at most ``few`` rows are
+    left, they are counted by value.  ``df`` is read once a round, for all
+    columns together, hence must give the same values each time."""
+    v = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    inf, wide, wanted, value, open_ = float("inf"), [], [], {}, []
+    for i in range(len(cols)):
+        x = F.col(f"v{i}")
+        finite = F.when(F.abs(x) < F.lit(inf), x)
+        wide += [F.count(x), F.count(F.when(x == -inf, 1)), F.count(finite), F.min(finite), F.max(finite), F.count(F.when(x == inf, 1))]
+    first = v.agg(*[x.alias(f"s{j}") for j, x in enumerate(wide)]).first()
+    for i in range(len(cols)):
+        n, below, inside, lo, hi, top = first[6 * i: 6 * i + 6]
+        wanted.append([(n - 1) * float(p) for p in probs] if n else [])
+        ranks = {f(at) for at in wanted[i] for f in (math.floor, math.ceil)}
+        value.update({(i, r): -inf if r < below else inf if r < below + inside + top else math.nan for r in ranks if not 0 <= r - below < inside})
+        ranks = [r for r in ranks if 0 <= r - below < inside]
+        if ranks:
+            open_.append((i, lo, hi, below, inside, ranks))
+    while True:
+        value.update({(i, r): lo for i, lo, hi, _, _, ranks in open_ if lo == hi for r in ranks})
+        open_ = [b for b in open_ if b[1] < b[2]]
+        if not open_:
+            break
+        met = [F.lit(None).cast("struct<b int, v double, cell double>")] * len(cols)
+        here = F.lit(False)
+        for b, (i, lo, hi, below, inside, ranks) in enumerate(open_):
+            x, unit = F.col(f"v{i}"), 1.0 if hi - lo < inf else 0.25  # the difference of huge values may overflow
+            at = (x * unit - lo * unit) / F.lit(hi * unit - lo * unit) * cells
+            cell = x if inside <= few else F.least(F.floor(at).cast("double"), F.lit(cells - 1.0))
+            met[i] = F.when(x.between(lo, hi), F.struct(F.lit(b).alias("b"), x.alias("v"), cell.alias("cell"))).otherwise(met[i])
+            here = here | (F.col("b") == b) & reduce(or_, [(F.col("upto") > r - below) & (F.col("upto") - F.col("n") <= r - below) for r in ranks])
+        each = v.select(F.explode(F.array(*met)).alias("x")).where("x IS NOT NULL").select("x.*")
+        counts = each.groupBy("b", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("b").orderBy("cell")))
+        found, now = counts.where(here).collect(), []
+        for row in found:
+            i, _, _, below, _, ranks = open_[row.b]
+            now.append((i, row.lo, row.hi, below + row.upto - row.n, row.n, [r for r in ranks if row.upto - row.n <= r - below < row.upto]))
+        open_ = now
+    out = {}
+    for i, c in enumerate(cols):
+        made = []
+        for at in wanted[i] or [None] * len(probs):
+            low, high = (None, None) if at is None else (value[i, math.floor(at)], value[i, math.ceil(at)])
+            made.append(low if low == high or at is None or at == math.floor(at) else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+        out[c] = made
+    return out
+
+
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Null count and percent per column (A7), one aggregate."""
     cols = list(cols or df.columns)
@@ -161,9 +221,8 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 def boxplot(df: DataFrame, col: str, whisker: float = 1.5) -> DataFrame:
     """Q1, median, Q3, whisker ends (most extreme values inside the 1.5 IQR
     fences) and number of fliers (A19)."""
-    q = df.agg(F.percentile(col, 0.25).alias("q1"), F.percentile(col, 0.5).alias("median"),
-               F.percentile(col, 0.75).alias("q3"))
-    d = df.filter(F.col(col).isNotNull()).crossJoin(F.broadcast(q))
+    q = percentiles(df, [col], (0.25, 0.5, 0.75))[col]
+    d = df.filter(F.col(col).isNotNull()).withColumns({k: F.lit(x).cast("double") for k, x in zip(("q1", "median", "q3"), q, strict=True)})
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - lit_d(whisker) * iqr, F.col("q3") + lit_d(whisker) * iqr
     inside = (F.col(col) >= lo_f) & (F.col(col) <= hi_f)
