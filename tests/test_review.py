@@ -69,3 +69,12 @@ def test_boxplot_gathers_no_values(spark):
     want = df.agg(F.percentile("x", [0.25, 0.5, 0.75])).first()[0]
     assert [row.q1, row.median, row.q3] == want and row.fliers > 0
     assert boxplot(df.where("x IS NULL"), "x").count() == 0
+
+
+def test_iqr_outliers_gather_no_values(spark):
+    df = spread_out(spark)
+    out = outliers(df, ["x", "y"], "iqr")
+    assert "percentile" not in plan_of(out)
+    q1, q3 = df.agg(F.percentile("x", [0.25, 0.75])).first()[0]
+    far = df.where((F.col("x") < q1 - 1.5 * (q3 - q1)) | (F.col("x") > q3 + 1.5 * (q3 - q1))).count()
+    assert {r.column: (r.outliers, r.n) for r in out.collect()} == {"x": (far, df.where("x IS NOT NULL").count()), "y": (0, 2000)} and far > 0

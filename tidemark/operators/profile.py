@@ -256,18 +256,17 @@ def qq_grid(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
 
 def outliers(df: DataFrame, cols: Sequence[str], method: str = "z", z: float = 3.0, k: float = 1.5) -> DataFrame:
     """Outlier counts per column (E1, E2): ``|x - mean| / std_pop > z`` or
-    outside ``[Q1 - k IQR, Q3 + k IQR]``.  Two passes: one aggregate for the
-    statistics (broadcast, one row), one for the counts."""
+    outside ``[Q1 - k IQR, Q3 + k IQR]``.  One aggregate for the statistics
+    (broadcast, one row) or the few passes of ``percentiles``, one for the
+    counts."""
     if method == "z":
         st = df.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
         d = df.crossJoin(F.broadcast(st))
         flags = {c: F.try_divide(F.abs(F.col(c) - F.col(f"m_{c}")), F.col(f"s_{c}")) > lit_d(z) for c in cols}
     elif method == "iqr":
-        st = df.agg(*[F.percentile(c, [0.25, 0.75]).alias(f"q_{c}") for c in cols])
-        d = df.crossJoin(F.broadcast(st))
-        flags = {}
+        found, d, flags = percentiles(df, cols, (0.25, 0.75)), df, {}
         for c in cols:
-            q1, q3 = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
+            q1, q3 = (F.lit(x).cast("double") for x in found[c])
             flags[c] = (F.col(c) < q1 - lit_d(k) * (q3 - q1)) | (F.col(c) > q3 + lit_d(k) * (q3 - q1))
     else:
         raise ValueError(f"unknown outlier method {method!r}")
