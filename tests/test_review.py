@@ -78,3 +78,11 @@ def test_iqr_outliers_gather_no_values(spark):
     q1, q3 = df.agg(F.percentile("x", [0.25, 0.75])).first()[0]
     far = df.where((F.col("x") < q1 - 1.5 * (q3 - q1)) | (F.col("x") > q3 + 1.5 * (q3 - q1))).count()
     assert {r.column: (r.outliers, r.n) for r in out.collect()} == {"x": (far, df.where("x IS NOT NULL").count()), "y": (0, 2000)} and far > 0
+
+
+def test_qq_grid_gathers_no_values(spark):
+    df, probs = spread_out(spark), (0.05, 0.5, 0.95)
+    out = qq_grid(df, "x", probs)
+    assert "percentile" not in plan_of(out)
+    m, s, q = df.agg(F.avg("x"), F.stddev_samp("x"), F.percentile("x", list(probs))).first()
+    assert [r.sample for r in out.orderBy("p").collect()] == pytest.approx([(x - m) / s for x in q], abs=1e-12)

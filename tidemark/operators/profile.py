@@ -245,8 +245,8 @@ def qq_grid(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
     """Normal Q-Q points on a fixed probability grid (E8): sample quantile of
     the standardised column vs the standard normal quantile (constants)."""
     nd = NormalDist()
-    st = df.agg(F.avg(col).alias("__m"), F.stddev_samp(col).alias("__s"),
-                F.percentile(col, list(map(float, probs))).alias("__q"))
+    q = percentiles(df, [col], probs)[col]
+    st = df.agg(F.avg(col).alias("__m"), F.stddev_samp(col).alias("__s")).withColumn("__q", F.array(*[F.lit(x).cast("double") for x in q]))
     rows = [(float(p), nd.inv_cdf(p)) for p in probs]
     grid = df.sparkSession.createDataFrame(rows, "p double, theoretical double")
     g = grid.withColumn("__k", F.row_number().over(Window.orderBy("p")) - 1)  # len(probs) rows
