@@ -46,7 +46,7 @@ def plan_of(df):
 
 
 def spread_out(spark):
-    rows = [(None if i % 11 == 3 else float(i * 37 % 1009) ** 3, float(i % 4)) for i in range(2000)]
+    rows = [(None if i % 11 == 3 else float(i * 37 % 1009) ** 6, float(i % 4)) for i in range(2000)]
     return spark.createDataFrame(rows, "x double, y double")
 
 

@@ -41,6 +41,28 @@ def test_dominated_counts():
             assert dominated(when, value, strict).tolist() == want
 
 
+def test_dominated_counts_in_groups():
+    rng = np.random.default_rng(1)
+    of = np.repeat(np.arange(40), rng.integers(1, 30, 40))
+    when = np.concatenate([np.sort(rng.integers(0, 9, (of == g).sum())) for g in range(40)])
+    value = rng.integers(0, 7, len(of)).astype(float)
+    for strict in (True, False):
+        want = np.concatenate([dominated(when[of == g], value[of == g], strict) for g in range(40)])
+        assert dominated(when, value, strict, of).tolist() == want.tolist()
+
+
+def test_expanding_rank_of_many_short_series_takes_few_cuts_and_groups(spark, monkeypatch):
+    asked, real = [], F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda c, grid, *a: asked.append(len(grid)) or real(c, grid, *a))
+    df = spark.range(3000).select((F.col("id") % 100).alias("k"), F.floor(F.col("id") / 100).alias("i"), (F.hash("id") % 50).cast("double").alias("x"))
+    got = expanding_rank(df, SeriesSpec("i", "k", block_rows=8), ["x"])
+    assert asked == [4]  # blocks of a series, not of the table
+    rows = sorted((r.k, r.i, r.x, r.x_less, r.x_most, r.x_seen) for r in got.collect())
+    for j in range(0, 3000, 30):
+        x = [r[2] for r in rows[j: j + 30]]
+        assert [r[3:] for r in rows[j: j + 30]] == [(sum(v < x[i] for v in x[: i + 1]), sum(v <= x[i] for v in x[: i + 1]), i + 1) for i in range(30)]
+
+
 def series(spark, n=120):
     rng, rows = np.random.default_rng(4), []
     for key in ("a", "b", None):

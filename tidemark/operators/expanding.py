@@ -11,13 +11,15 @@ Rows are dealt twice, always in bounded groups:
 * by time: within ``(key, block of block_rows positions)`` the rows before each
   row are counted by numpy, one pass per bit of the rank;
 * by value: cut points make value classes, each either one value that is a cut
-  point (however often it occurs) or the open range between two of them (about
-  ``block_rows`` rows).  Rows of earlier time blocks in lower classes come from
+  point (however often it occurs) or the open range between two of them: of a
+  series about ``block_rows`` rows, never much more than ``MOST_OPEN`` or a
+  block.  Rows of earlier time blocks in lower classes come from
   two-way prefix sums of the table of counts per (time block, class); those in
   the same open class are counted there, block against block.
 
 A series of one block needs only the first.  The count table has
-``(n / block_rows)^2`` cells a column, spread over keys and blocks.
+``(n / block_rows)^2`` cells a column and series of n rows, spread over keys
+and blocks.  Groups are dealt to numpy many at a time (``BATCH`` rows).
 """
 
 from __future__ import annotations
@@ -27,28 +29,36 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.series import SeriesSpec, ensure_index, null_safe_join
 from tidemark.session import ensure_checkpoint_dir
 
+MOST_OPEN = 1 << 18  # rows of one series between two cut points, where blocks are smaller
+BATCH = 1 << 14  # rows of whole groups that numpy takes at once
 
-def dominated(when: np.ndarray, value: np.ndarray, strict: bool) -> np.ndarray:
+
+def dominated(when: np.ndarray, value: np.ndarray, strict: bool, of: np.ndarray | None = None) -> np.ndarray:
     """For each i the number of j with ``when[j] < when[i]`` and ``value[j] <
     value[i]`` (``<=`` if not strict).  ``when`` is ascending; equal entries of
-    it are not before each other."""
+    it are not before each other.  With ``of`` (0, 1, ... in runs) only j of the
+    same group count, and ``when`` is ascending in each."""
     n = len(value)
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
+    of = np.zeros(n, np.int64) if of is None else of
+    sizes = np.bincount(of)
+    bits = int(sizes.max() - 1).bit_length()
     # equal values: the later one ranks lower (strict) or higher
-    order = np.lexsort((-when if strict else when, value))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    first_of_time = np.maximum.accumulate(np.where(np.append(True, when[1:] != when[:-1]), np.arange(n), 0))
-    for bit in range(int(n - 1).bit_length()):
+    order = np.lexsort((-when if strict else when, value, of))
+    rank = np.empty(n, np.int64)  # groups begin at multiples of a power of two, so that they differ above its bits
+    rank[order] = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (np.repeat(np.arange(len(sizes)), sizes) << bits)
+    first_of_time = np.maximum.accumulate(np.where(np.append(True, (when[1:] != when[:-1]) | (of[1:] != of[:-1])), np.arange(n), 0))
+    for bit in range(bits):
         # ranks that agree above this bit differ first in it: those with 0 are lower
         group = rank >> (bit + 1)
         by = np.argsort(group, kind="stable")
@@ -69,6 +79,26 @@ def _floats(col: pa.ChunkedArray) -> np.ndarray:
     return col.to_numpy(zero_copy_only=False).astype(np.float64)
 
 
+def _sorted_groups(rows: pa.Table, group: list[str], by: str) -> tuple[pa.Table, np.ndarray]:
+    """``rows`` by groups of equal ``group`` columns (a null equals a null) and
+    ``by`` within them, and each row's group number."""
+    of = np.zeros(rows.num_rows, np.int64)
+    for c in group:
+        codes = rows.column(c)
+        if pa.types.is_floating(codes.type):
+            codes = pc.add(codes, 0.0)  # one zero
+        codes = codes.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.unique(of * (codes.max(initial=0) + 2) + codes + 1, return_inverse=True)[1]
+    order = np.lexsort((rows.column(by).to_numpy(), of))
+    return rows.take(pa.array(order)), of[order]
+
+
+def _dealt(df: DataFrame, group: list[str], n: int) -> GroupedData:
+    """``df`` grouped so that rows of equal ``group`` columns come together,
+    about ``BATCH`` rows at a time of its ``n``."""
+    return df.groupBy(F.pmod(F.xxhash64(*group), F.lit(max(1, math.ceil(n / BATCH)))).alias("_deal"))
+
+
 def expanding_rank(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], suffixes: Sequence[str] = ("_less", "_most", "_seen")) -> DataFrame:
     """Append per column how many values of the series up to the row are
     smaller (``_less``), smaller or equal, itself included (``_most``), and not
@@ -83,7 +113,8 @@ def expanding_rank(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], suffixe
     narrow = base.select(*keys, F.col(ri).cast("long").alias("_pos"), F.floor(F.col(ri) / size).cast("long").alias("_blk"), *[F.col(c).cast("double").alias(c) for c in cols])
     narrow = narrow.select(*keys, "_pos", "_blk", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in cols]).checkpoint()
     n, last = narrow.agg(F.count(F.lit(1)), F.max("_blk")).first()
-    points = max(1, math.ceil(n / size))
+    # cuts are common to all series: as many as the longest has blocks, and enough that no open range holds more than MOST_OPEN
+    points = max(1, (last or 0) + 1, math.ceil(n / max(size, MOST_OPEN)))
     grid = [(i + 1) / (points + 1) for i in range(points)]
     cuts = {c: np.empty(0) for c in cols}
     if last:
@@ -91,19 +122,21 @@ def expanding_rank(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], suffixe
         cuts = {c: np.unique(np.array(found[c] or [], float)) for c in cols}
 
     def in_block(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_pos")
+        rows, of = _sorted_groups(rows, [*keys, "_blk"], "_pos")
+        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))[of]
         out = {k: rows.column(k) for k in [*keys, "_pos", "_blk"]}
         for c, a, b, s in zip(cols, less, most, seen, strict=True):
             x = _floats(rows.column(c))
             there = np.flatnonzero(~np.isnan(x))
-            v, at = x[there], np.arange(len(there))
+            v, at, mine = x[there], np.arange(len(there)), of[there]
             made = []
             for strict in (True, False):
                 count = np.zeros(len(x), np.int64)
-                count[there] = dominated(at, v, strict) + (not strict)
+                count[there] = dominated(at, v, strict, mine) + (not strict)
                 made.append(pa.array(count, pa.int64(), mask=np.isnan(x)))
             out[a], out[b] = made
-            out[s] = pa.array(np.cumsum(~np.isnan(x)))
+            upto = np.append(0, np.cumsum(~np.isnan(x)))
+            out[s] = pa.array(upto[1:] - upto[begin])
             left, right = np.searchsorted(cuts[c], x, "left"), np.searchsorted(cuts[c], x, "right")
             out["_cls_" + c] = pa.array(left + right, pa.int64(), mask=np.isnan(x))  # odd: a cut point itself
             out["_val_" + c] = pa.array(x, pa.float64(), mask=np.isnan(x))
@@ -112,18 +145,18 @@ def expanding_rank(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], suffixe
     fields = [*[narrow.schema[k] for k in keys], *[T.StructField(c, T.LongType()) for c in ("_pos", "_blk")]]
     for c, a, b, s in zip(cols, less, most, seen, strict=True):
         fields += [T.StructField(x, T.LongType()) for x in (a, b, s, "_cls_" + c)] + [T.StructField("_val_" + c, T.DoubleType())]
-    ranked = narrow.groupBy(*keys, "_blk").applyInArrow(in_block, T.StructType(fields))
+    ranked = _dealt(narrow, [*keys, "_blk"], n).applyInArrow(in_block, T.StructType(fields))
     if last:
         ranked = ranked.checkpoint()
         for c, a, b, s in zip(cols, less, most, seen, strict=True):
-            ranked = _with_earlier_blocks(ranked, keys, c, a, b, s)
+            ranked = _with_earlier_blocks(ranked, n, keys, c, a, b, s)
     ranked = ranked.select(*keys, F.col("_pos").alias(ri), *less, *most, *seen)
     out = null_safe_join(base, ranked, [*keys, ri]) if keys else base.join(ranked, ri, "left")
     out = out.select(*base.columns, *[x for t in zip(less, most, seen, strict=True) for x in t])
     return out.drop(ri) if added else out
 
 
-def _with_earlier_blocks(ranked: DataFrame, keys: list[str], c: str, less: str, most: str, seen: str) -> DataFrame:
+def _with_earlier_blocks(ranked: DataFrame, n: int, keys: list[str], c: str, less: str, most: str, seen: str) -> DataFrame:
     """Adds to the counts within blocks those of earlier time blocks."""
     cls, val = "_cls_" + c, "_val_" + c
     cells = ranked.where(F.col(cls).isNotNull()).groupBy(*keys, "_blk", cls).agg(F.count(F.lit(1)).alias("_m")).checkpoint()
@@ -142,13 +175,13 @@ def _with_earlier_blocks(ranked: DataFrame, keys: list[str], c: str, less: str,
     totals = totals.select(*keys, "_blk", F.coalesce(F.sum("_in").over(up), F.lit(0)).alias("_prior"))
 
     def in_class(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_blk")
+        rows, of = _sorted_groups(rows, [*keys, cls], "_blk")
         when, v = rows.column("_blk").to_numpy(), _floats(rows.column(val))
-        return pa.table({**{k: rows.column(k) for k in [*keys, "_pos"]}, "_a": dominated(when, v, True), "_b": dominated(when, v, False)})
+        return pa.table({**{k: rows.column(k) for k in [*keys, "_pos"]}, "_a": dominated(when, v, True, of), "_b": dominated(when, v, False, of)})
 
     open_ = ranked.where(F.col(cls) % 2 == 0).select(*keys, "_pos", "_blk", cls, val)
     fields = [*[ranked.schema[k] for k in keys], *[T.StructField(x, T.LongType()) for x in ("_pos", "_a", "_b")]]
-    inner = open_.groupBy(*keys, cls).applyInArrow(in_class, T.StructType(fields))
+    inner = _dealt(open_, [*keys, cls], n).applyInArrow(in_class, T.StructType(fields))
     d = null_safe_join(ranked, full, [*keys, "_blk", cls])
     d = null_safe_join(null_safe_join(d, totals, [*keys, "_blk"]), inner, [*keys, "_pos"])
     point = F.col(cls) % 2 == 1
