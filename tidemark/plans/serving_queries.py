@@ -46,7 +46,9 @@ def _values(spark, sf_dir):
 
 def _served(spark, sf_dir):
     """The series scored on a stream by a saved model of the value before."""
-    base, rows = _folder(spark, "serve"), _values(spark, sf_dir)
+    base = _folder(spark, "serve")
+    _values(spark, sf_dir).write.parquet(f"{base}/rows")  # read for the model and by every part
+    rows = spark.read.schema(SERIES).parquet(f"{base}/rows")
     train = lag_features(rows, USERS, ["x"], [1]).select("x", F.col("x_lag1").alias("lag_1")).dropna()
     model = Pipeline(stages=[VectorAssembler(inputCols=["lag_1"], outputCol="features"), LinearRegression(labelCol="x", solver="normal")]).fit(train)
     model.write().save(f"{base}/model")

@@ -39,12 +39,13 @@ def _lag_fn(n: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         """Rows of one key in a micro-batch, in order, behind the kept values."""
         kept, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        pdf = pd.concat(list(pdfs)).sort_values("pos", kind="stable")
-        pos = pdf["pos"].to_numpy(np.int64)
+        parts = [(p["pos"].to_numpy(), p["value"].to_numpy(np.float64)) for p in pdfs]
+        pos, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(pos, kind="stable")
+        pos, value = pos[order].astype(np.int64), value[order]
         late = np.append(False, pos[1:] == pos[:-1])
         if last is not None:
             late |= pos <= last
-        value = pdf["value"].to_numpy(np.float64)
         good = value[~late]
         seen = np.concatenate([np.full(n - len(kept), np.nan), np.array(kept, np.float64), good])
         out = {"key": np.full(len(pos), key[0], object), "pos": pos, "value": value}
@@ -56,8 +57,7 @@ def _lag_fn(n: int):
         if len(good):
             rest = seen[len(good):] if len(kept) + len(good) >= n else np.concatenate([np.array(kept), good])
             state.update(([float(v) for v in rest], int(pos[~late][-1])))
-        made = pd.DataFrame(out)
-        yield made.astype(object).where(made.notna(), None)
+        yield pd.DataFrame(out)  # few steps per key, as there may be many: NaN becomes null on the way out
 
     return fn
 
@@ -273,6 +273,7 @@ def serve(sdf: DataFrame, step: Callable[[DataFrame], DataFrame], ids: Callable[
             return
         rows = rows.persist()
         try:
+            rows.count()  # the step and the ids would make the same parts at once, one task of two waiting
             pred = step(rows if late is None else rows.where(~F.col(late))).persist()
             want = ids(rows if late is None else rows.where(~F.col(late)))
             faults = batch_faults(pred, want, key, batch).select(F.col(batch).alias("_b"), "fault").persist()
