@@ -174,6 +174,31 @@ def test_lags_from_state_equal_lags_of_the_table(spark):
     assert sorted((r.key, r.pos) for r in sink.read("late", "key long, pos long").collect()) == [(0, 2), (0, 2)]
 
 
+def test_lags_of_many_keys_share_calls_and_stay_apart(spark):
+    import inspect
+    assert "buckets" in inspect.signature(V.lag_stream).parameters
+    big = (1 << 60) + 1  # not a double
+    keys = [None, 0, 1, big, big + 1, -7]
+    rows = [(k, p, None if p == 3 else float(100 * i + p)) for i, k in enumerate(keys) for p in range(12)]
+    base = folder(spark)
+    sink = V.EpochSink(spark, f"{base}/sink")
+    for lo, hi in ((0, 1), (1, 6), (6, 12)):
+        part = [r for r in rows if lo <= r[1] < hi and (r[0] != 1 or lo != 1)] + [(k, 2, 5.0) for k in keys if lo == 6]
+        spark.createDataFrame(part, "u long, p long, x double").write.mode("append").parquet(f"{base}/src")
+        sdf = spark.readStream.schema("u long, p long, x double").parquet(f"{base}/src")
+        V.serve(V.lag_stream(sdf, "u", "p", "x", 2, buckets=2), lambda b: b.withColumn("prediction", F.lit(1.0)), lambda b: b.select("key", "pos"), sink, f"{base}/ckpt", "key", "pos", "late")
+    got = {(r.key, r.pos): (r.value, r.lag_1, r.lag_2) for r in sink.read("good", "key long, pos long, value double, lag_1 double, lag_2 double").collect()}
+    want = {}
+    for k in keys:
+        own = [(p, x) for q, p, x in rows if q == k and (k != 1 or not 1 <= p < 6)]
+        if k == 1:
+            own.insert(1, (2, 5.0))  # its first row at 2 is not late
+        for i, (p, x) in enumerate(own):
+            want[k, p] = (x, *(own[i - j][1] if i >= j else None for j in (1, 2)))
+    assert got == want
+    assert sorted(str(r.key) for r in sink.read("late", "key long, pos long").collect()) == sorted(str(k) for k in keys if k != 1)
+
+
 # --- user functions, dispatch, outcome ----------------------------------------------------------------------------
 def half(frame):
     return [0.5] * (len(frame) // 2)

@@ -36,41 +36,56 @@ MOST_DETAILS = 8000
 
 # --- features from state (T5) -----------------------------------------------------------------
 def _lag_fn(n: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        """Rows of one key in a micro-batch, in order, behind the kept values."""
-        kept, last = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
-        parts = [(p["pos"].to_numpy(), p["value"].to_numpy(np.float64)) for p in pdfs]
-        pos, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(pos, kind="stable")
-        pos, value = pos[order].astype(np.int64), value[order]
-        late = np.append(False, pos[1:] == pos[:-1])
-        if last is not None:
-            late |= pos <= last
-        good = value[~late]
-        seen = np.concatenate([np.full(n - len(kept), np.nan), np.array(kept, np.float64), good])
-        out = {"key": np.full(len(pos), key[0], object), "pos": pos, "value": value}
+    def fn(bucket, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        """Rows of one bucket of keys in a micro-batch, in order within each key,
+        behind the kept values."""
+        held = {(a, k): (at, x) for a, k, at, x in zip(*state.get[:3], np.reshape(state.get[3], (-1, n)), strict=True)} if state.exists else {}
+        parts = [[p[c].to_numpy() for c in ("known", "key", "pos", "value")] for p in pdfs]
+        known, key, pos, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((pos, key, known))
+        known, key, pos, value = known[order].astype(bool), key[order].astype(np.int64), pos[order].astype(np.int64), value[order].astype(np.float64)
+        new = np.append(True, (key[1:] != key[:-1]) | (known[1:] != known[:-1]))
+        of, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+        names = list(zip(known[begin].tolist(), key[begin].tolist(), strict=True))
+        there = np.array([k in held for k in names])
+        last = np.array([held[k][0] if k in held else 0 for k in names], np.int64)
+        kept = np.array([held[k][1] if k in held else np.full(n, np.nan) for k in names], np.float64)
+        late = (there[of] & (pos <= last[of])) | (np.append(False, pos[1:] == pos[:-1]) & ~new)
+        good = np.flatnonzero(~late)
+        count = np.bincount(of[good], minlength=len(names))
+        end = np.cumsum(count)
+        rank, at = np.arange(len(good)) - (end - count)[of[good]], np.arange(len(good))
+        seen = value[good]
+        out = {"known": known, "key": key, "pos": pos, "value": value}
         for k in range(1, n + 1):
             lag = np.full(len(pos), np.nan)
-            lag[~late] = seen[n - k: n - k + len(good)]
+            lag[good] = np.where(rank >= k, seen[np.maximum(at - k, 0)], kept[of[good], np.minimum(n - k + rank, n - 1)])
             out[f"lag_{k}"] = lag
         out["late"] = late
-        if len(good):
-            rest = seen[len(good):] if len(kept) + len(good) >= n else np.concatenate([np.array(kept), good])
-            state.update(([float(v) for v in rest], int(pos[~late][-1])))
-        yield pd.DataFrame(out)  # few steps per key, as there may be many: NaN becomes null on the way out
+        for g in np.flatnonzero(count):
+            held[names[g]] = (int(pos[good[end[g] - 1]]), np.concatenate([kept[g], seen[end[g] - min(count[g], n): end[g]]])[-n:])
+        state.update(([a for a, _ in held], [k for _, k in held], [x for x, _ in held.values()], [float(v) for _, x in held.values() for v in x]))
+        yield pd.DataFrame(out)  # NaN becomes null on the way out
 
     return fn
 
 
-def lag_stream(sdf: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
+def lag_stream(sdf: DataFrame, key: str, order: str, value: str, n: int, buckets: int = 1 << 12) -> DataFrame:
     """``key, pos, value, lag_1 .. lag_n, late``: the ``n`` values before each
     row of its series, from state; null where there are fewer.  A row that is
     not after the last one of its key, or repeats an order value, is late: it
-    gets no lags and changes no state.  Null values take their place as null."""
+    gets no lags and changes no state.  Null values take their place as null,
+    rows of a null key are a series.
+
+    Keys are dealt by hash to ``buckets`` states, since a call of Python costs
+    far more than a key; a checkpoint holds for its number of buckets."""
     src = sdf.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("pos"), F.col(value).cast("double").alias("value"))
-    lags = ", ".join(f"lag_{k} double" for k in range(1, n + 1))
-    return src.groupBy("key").applyInPandasWithState(
-        _lag_fn(n), f"key long, pos long, value double, {lags}, late boolean", "kept array<double>, last long", "append", GroupStateTimeout.NoTimeout)
+    src = src.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.col("key").isNotNull().alias("known"), F.coalesce("key", F.lit(0)).alias("key"), "pos", "value")
+    lags = [f"lag_{k}" for k in range(1, n + 1)]
+    made = src.groupBy("bucket").applyInPandasWithState(
+        _lag_fn(n), f"known boolean, key long, pos long, value double, {', '.join(f'{c} double' for c in lags)}, late boolean",
+        "known array<boolean>, key array<long>, last array<long>, kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    return made.select(F.when(F.col("known"), F.col("key")).alias("key"), "pos", "value", *lags, "late")
 
 
 def score_stream(sdf: DataFrame, model: str | PipelineModel, key: str, order: str, value: str, n: int) -> DataFrame:
