@@ -83,3 +83,12 @@ def test_planted_junk_in_every_language(spark):
     assert not [d for d, *_ in rows if d not in junk and not got[d].kept]
     again = {r.doc_id: r.distance for r in M.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)).collect()}
     assert again == {d: r.distance for d, r in got.items()}  # sums do not hang on partitions
+
+
+def test_estimates_are_read_in_one_scan(spark):
+    """The plan of the estimates must not grow with the number of steps taken."""
+    rng = np.random.default_rng(1)
+    rows = [(g, *map(int, np.floor(v * M.UNIT + 0.5))) for g in "abc" for v in rng.normal(size=(300, 5)) @ (rng.normal(size=(5, 5)) + np.eye(5))]
+    got = M.robust_estimates(spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} long" for n in NAMES)))
+    assert max(r.steps for r in got.collect()) >= 3
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -16,8 +16,6 @@ whole steps of 0.0001 and summed as decimals, hence reruns agree.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -210,20 +208,21 @@ def robust_estimates(rows: DataFrame, fence: float = 3.0, settled: float = 1e-3)
     determinant by less than ``settled``; a start that has settled takes no
     further steps.  The start with the least determinant is the estimate."""
     middle = staged(_middle(rows), "mcd-middle")
-    now = staged(_inverted(_concentrated(rows, _inverted(_starts(rows, middle)))).withColumn("steps", F.lit(1)), "mcd")
-    settled_ones, steps = [], 1
-    while True:
-        steps += 1
-        new = _inverted(_concentrated(rows, now)).withColumn("steps", F.lit(steps))
-        was = now.select("g", "s", F.col("logdet").alias("was"))
-        new = staged(new.join(was, ["g", "s"]), "mcd")
-        going = F.col("logdet") < F.col("was") - settled
-        worse = new.where(F.col("logdet") >= F.col("was")).select("g", "s")
-        settled_ones += [now.join(worse, ["g", "s"], "left_semi"), new.where(~going & (F.col("logdet") < F.col("was"))).drop("was")]
-        now = new.where(going).drop("was")
-        if now.isEmpty():
-            break
-    every = reduce(DataFrame.unionByName, settled_ones)
+    begun = staged(_inverted(_starts(rows, middle)), "mcd-starts")
+    now = staged(_inverted(_concentrated(rows, begun)).withColumns({"steps": F.lit(1), "going": F.lit(True)}), "mcd")
+    files = now.inputFiles()
+    kept = [c for c in now.columns if c not in ("g", "s", "steps", "going")]
+    while not now.isEmpty():
+        new = _inverted(_concentrated(rows, now)).select("g", "s", F.struct(*kept).alias("new"))
+        better = F.col("new.logdet") < F.col("logdet")  # else the estimate before stays
+        stepped = now.join(new, ["g", "s"]).select(
+            "g", "s", *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in kept],
+            (F.col("steps") + better.cast("int")).alias("steps"), (F.col("new.logdet") < F.col("logdet") - settled).alias("going"))
+        now = staged(stepped, "mcd")
+        files += now.inputFiles()
+        now = now.where("going")
+    # all steps' files in one scan: a union of the steps would be a plan that grows with their number
+    every = rows.sparkSession.read.schema(now.schema).parquet(*files).where("NOT going").drop("going")
     place = F.struct("logdet", "s")
     best = every.groupBy("g").agg(F.min_by(F.struct(*[c for c in every.columns if c != "g"]), place).alias("b")).select("g", "b.*")
     best = staged(best, "mcd-best")
