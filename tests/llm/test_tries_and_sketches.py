@@ -65,6 +65,28 @@ def test_near_duplicates_against_all_pairs(spark, turns, block):
     assert sorted(map(tuple, classes.collect()), key=str) == brute_components(rows)
 
 
+def test_near_copies_that_are_not_alike_make_few_pairs(spark, monkeypatch):
+    rng, staged, pairs = random.Random(3), H.staged, []
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 240):  # from the base: 0 to 9 words, each in four shingles
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(0, 10)):
+            w[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(w)))
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "staged", counted)
+    docs = spark.createDataFrame([(d, t, 1, 2, 3, "c", "s") for d, t in rows], EXTRA)
+    assert sorted(map(tuple, H.near_duplicates(docs).collect()), key=str) == brute_components(rows)
+    assert sum(pairs) < 5 * len(rows)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert H.near_duplicates(spark.createDataFrame([], EXTRA)).count() == 0
 
