@@ -99,3 +99,20 @@ def test_estimates_are_read_in_one_scan(spark, monkeypatch):
     got = M.robust_estimates(spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} long" for n in NAMES)))
     assert max(r.steps for r in got.collect()) >= 3
     assert "Union" not in plans["mcd-best"]
+
+
+def test_steps_read_vectors_only(spark, monkeypatch):
+    """A step joins its rows with the estimates and these with the new ones; the
+    driver keeps no further broadcasts or shuffles for each step."""
+    staged, joins = M.staged, []
+
+    def kept(df, name):
+        if name == "mcd":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return staged(df, name)
+
+    monkeypatch.setattr(M, "staged", kept)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(rng.randint(12, 60))), "en", "ab"[i % 2]) for i in range(500)]
+    assert M.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).count() == 500
+    assert joins[0] == 1 and max(joins) <= 2

@@ -86,10 +86,10 @@ def _pairs() -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
 
 
-def _per_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` with their group's columns: a group that holds a third of all
-    rows is no join key while there are at most ``MOST_GROUPS`` groups."""
-    return rows.join(small(groups, MOST_GROUPS), "g")
+def _per_group(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
+    """``rows`` with their group's columns (``n_groups`` rows at most): a group that
+    holds a third of all rows is no join key while there are at most ``MOST_GROUPS``."""
+    return rows.join(F.broadcast(groups) if n_groups <= MOST_GROUPS else small(groups, MOST_GROUPS), "g")
 
 
 def _middle(rows: DataFrame) -> DataFrame:
@@ -107,12 +107,12 @@ def _middle(rows: DataFrame) -> DataFrame:
                                  *[F.greatest(of(k, "s"), F.lit(v)).alias(f"s_{k}") for k, v in VECTOR.items()])
 
 
-def _starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+def _starts(rows: DataFrame, middle: DataFrame, n_groups: int) -> DataFrame:
     """Per group and start ``s``: centre and scatter to begin with.  All begin
     at the medians, with the quartile spreads and a correlation of: nothing (0),
     hyperbolic tangents (1), signs (2), spatial signs (3) of the scaled rows."""
     z = {k: (F.col(k) / UNIT - F.col(f"m_{k}")) / F.col(f"s_{k}") for k in VECTOR}
-    scaled = _per_group(rows, middle).select("g", *[z[k].alias(k) for k in VECTOR])
+    scaled = _per_group(rows, middle, n_groups).select("g", *[z[k].alias(k) for k in VECTOR])
     scaled = scaled.withColumn("r", F.sqrt(sum((F.col(k) * F.col(k) for k in VECTOR), F.lit(0.0))))
     forms = {1: lambda k: F.tanh(F.col(k)), 2: lambda k: F.signum(F.col(k)),
              3: lambda k: F.when(F.col("r") > 0, F.col(k) / F.col("r")).otherwise(0.0)}
@@ -132,25 +132,45 @@ def _starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
     return middle.join(sums, "g").select("g", *[f"m_{k}" for k in VECTOR], F.explode(F.array(*each)).alias("e")).select("g", *[f"m_{k}" for k in VECTOR], "e.*")
 
 
-def _inverted(groups: DataFrame) -> DataFrame:
-    """Adds the inverse ``w_*`` of the scatter's Cholesky factor, so that the
-    squared distance is a plain sum of squares, and ``logdet``, the logarithm of
-    the scatter's determinant.  Variances are raised to their least values
-    first, which keeps the scatter regular where a statistic is constant."""
+def _inverse() -> list[dict[str, Column]]:
+    """The inverse ``w_*`` of the scatter's Cholesky factor, so that the squared
+    distance is a plain sum of squares, and ``logdet``, the logarithm of the
+    scatter's determinant.  Variances are raised to their least values first,
+    which keeps the scatter regular where a statistic is constant.  Columns of a
+    layer need only those of layers before: each layer is one node of the plan."""
     names = list(VECTOR)
     cov = {(a, b): F.greatest(F.col(f"c_{a}_{b}"), F.lit(VECTOR[a] ** 2)) if a == b else F.col(f"c_{a}_{b}") for a, b in _pairs()}
-    out = groups
+    layers: list[dict[str, Column]] = []
+    depth: dict[str, int] = {}
+
+    def add(name: str, value: Column, *needs: str) -> None:
+        depth[name] = max((depth[x] + 1 for x in needs), default=0)
+        if depth[name] == len(layers):
+            layers.append({})
+        layers[depth[name]][name] = value
+
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
             rest = cov[a, b] - sum((F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}") for k in names[:j]), F.lit(0.0))
-            out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(VECTOR[a] ** 2 / 100))) if a == b else rest / F.col(f"l_{b}_{b}"))
+            before = [f"l_{x}_{k}" for k in names[:j] for x in (a, b)]
+            if a == b:
+                add(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(VECTOR[a] ** 2 / 100))), *before)
+            else:
+                add(f"l_{a}_{b}", rest / F.col(f"l_{b}_{b}"), f"l_{b}_{b}", *before)
     for i, a in enumerate(names):
-        for j in range(i, -1, -1):
-            b = names[j]
-            out = out.withColumn(f"w_{a}_{b}", 1 / F.col(f"l_{a}_{a}") if a == b else
-                                 -sum((F.col(f"l_{a}_{k}") * F.col(f"w_{k}_{b}") for k in names[j:i]), F.lit(0.0)) / F.col(f"l_{a}_{a}"))
-    out = out.withColumn("logdet", sum((2 * F.log(F.col(f"l_{a}_{a}")) for a in names), F.lit(0.0)))
-    return out.drop(*[c for c in out.columns if c[:2] in ("l_", "c_")])
+        add(f"w_{a}_{a}", 1 / F.col(f"l_{a}_{a}"), f"l_{a}_{a}")
+        for j, b in enumerate(names[:i]):
+            value = -sum((F.col(f"l_{a}_{k}") * F.col(f"w_{k}_{b}") for k in names[j:i]), F.lit(0.0)) / F.col(f"l_{a}_{a}")
+            add(f"w_{a}_{b}", value, f"l_{a}_{a}", *[x for k in names[j:i] for x in (f"l_{a}_{k}", f"w_{k}_{b}")])
+    add("logdet", sum((2 * F.log(F.col(f"l_{a}_{a}")) for a in names), F.lit(0.0)), *[f"l_{a}_{a}" for a in names])
+    return layers
+
+
+def _inverted(groups: DataFrame, inverse: list[dict[str, Column]]) -> DataFrame:
+    """``groups`` with the columns of ``_inverse`` instead of their scatter."""
+    for layer in inverse:
+        groups = groups.withColumns(layer)
+    return groups.drop(*[c for c in groups.columns if c[:2] in ("l_", "c_")])
 
 
 def _distance() -> Column:
@@ -168,29 +188,36 @@ def _bin() -> Column:
     return F.floor(F.log1p("d") * 64).cast("int")
 
 
-def _concentrated(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """One concentration step: per group and start, the estimate from the
-    nearest ``H`` of the rows.  Counts, sums and products are made per bin of
-    distance, in one pass; the bins up to the cut are added up after it."""
+def _sums() -> tuple[list[Column], list[Column], list[Column]]:
+    """What a concentration step adds up per bin, then over bins, and the centre and scatter from it."""
     names = list(VECTOR)
-    near = _per_group(rows, groups).withColumn("d", _distance()).select("g", "s", *names, _bin().alias("bin"))
     dec = lambda c: c.cast("decimal(18,0)")
     parts = {"n": F.count(F.lit(1)), **{f"s_{a}": F.sum(dec(F.col(a))) for a in names}, **{f"p_{a}_{b}": F.sum(dec(F.col(a) * F.col(b))) for a, b in _pairs()}}
-    bins = near.groupBy("g", "s", "bin").agg(*[x.alias(k) for k, x in parts.items()])
+    mean = {a: F.col(f"s_{a}").cast("double") / F.col("n") / UNIT for a in names}
+    made = [*[mean[a].alias(f"m_{a}") for a in names], *[
+        (F.col(f"p_{a}_{b}").cast("double") / F.col("n") / UNIT / UNIT - mean[a] * mean[b]).alias(f"c_{a}_{b}") for a, b in _pairs()]]
+    return [x.alias(k) for k, x in parts.items()], [F.sum(k).alias(k) for k in parts], made
+
+
+def _concentrated(rows: DataFrame, groups: DataFrame, n_groups: int, distance: Column, sums: tuple[list[Column], list[Column], list[Column]]) -> DataFrame:
+    """One concentration step: per group and start, the estimate from the
+    nearest ``H`` of the rows.  Counts, sums and products are made per bin of
+    distance, in one pass; the bins up to the cut are added up after it."""
+    parts, totals, made = sums
+    near = _per_group(rows, groups, n_groups).withColumn("d", distance).select("g", "s", *VECTOR, _bin().alias("bin"))
+    bins = near.groupBy("g", "s", "bin").agg(*parts)
     of = Window.partitionBy("g", "s")
     bins = bins.withColumn("upto", F.sum("n").over(of.orderBy("bin"))).withColumn("all", F.sum("n").over(of))
-    kept = bins.where(F.col("upto") - F.col("n") < F.col("all") * H).groupBy("g", "s").agg(*[F.sum(k).alias(k) for k in parts])
-    mean = {a: F.col(f"s_{a}").cast("double") / F.col("n") / UNIT for a in names}
-    return kept.select("g", "s", *[mean[a].alias(f"m_{a}") for a in names], *[
-        (F.col(f"p_{a}_{b}").cast("double") / F.col("n") / UNIT / UNIT - mean[a] * mean[b]).alias(f"c_{a}_{b}") for a, b in _pairs()])
+    kept = bins.where(F.col("upto") - F.col("n") < F.col("all") * H).groupBy("g", "s").agg(*totals)
+    return kept.select("g", "s", *made)
 
 
-def _tail(rows: DataFrame, groups: DataFrame, fence: float) -> DataFrame:
+def _tail(rows: DataFrame, groups: DataFrame, n_groups: int, distance: Column, fence: float) -> DataFrame:
     """Per group the ``scale`` that gives distances the median of chi-square,
     and ``limit``: on cube roots of the scaled distances, which are nearly
     normal for normal vectors, ``fence`` quartile ranges above the upper
     quartile (the outer fence at 3), and never below that of chi-square."""
-    bins = _per_group(rows, groups).withColumn("d", _distance()).groupBy("g", _bin().alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    bins = _per_group(rows, groups, n_groups).withColumn("d", distance).groupBy("g", _bin().alias("bin")).agg(F.count(F.lit(1)).alias("k"))
     bins = bins.withColumn("upto", F.sum("k").over(Window.partitionBy("g").orderBy("bin"))).withColumn("all", F.sum("k").over(Window.partitionBy("g")))
     at = lambda q: F.greatest(F.expm1((F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) + 0.5) / 64), F.lit(0.05))
     found = bins.groupBy("g").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3")).withColumn("scale", F.lit(CHI5[1]) / F.col("q2"))
@@ -207,18 +234,21 @@ def robust_estimates(rows: DataFrame, fence: float = 3.0, settled: float = 1e-3)
     Every start is concentrated until a step lowers the logarithm of its
     determinant by less than ``settled``; a start that has settled takes no
     further steps.  The start with the least determinant is the estimate."""
+    inverse, distance, sums = _inverse(), _distance(), _sums()  # made once for all steps
     middle = staged(_middle(rows), "mcd-middle")
-    begun = staged(_inverted(_starts(rows, middle)), "mcd-starts")
-    now = staged(_inverted(_concentrated(rows, begun)).withColumns({"steps": F.lit(1), "going": F.lit(True)}), "mcd")
+    n = middle.count()
+    begun = staged(_inverted(_starts(rows, middle, n), inverse), "mcd-starts")
+    n_starts = 4 * n  # no step has more rows
+    now = staged(_inverted(_concentrated(rows, begun, n_starts, distance, sums), inverse).withColumns({"steps": F.lit(1), "going": F.lit(True)}), "mcd")
     files = now.inputFiles()
     kept = [c for c in now.columns if c not in ("g", "s", "steps", "going")]
+    better = F.col("new.logdet") < F.col("logdet")  # else the estimate before stays
+    stepped = ["g", "s", *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in kept],
+               (F.col("steps") + better.cast("int")).alias("steps"), (F.col("new.logdet") < F.col("logdet") - settled).alias("going")]
+    new = ["g", "s", F.struct(*kept).alias("new")]
     while not now.isEmpty():
-        new = _inverted(_concentrated(rows, now)).select("g", "s", F.struct(*kept).alias("new"))
-        better = F.col("new.logdet") < F.col("logdet")  # else the estimate before stays
-        stepped = now.join(new, ["g", "s"]).select(
-            "g", "s", *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in kept],
-            (F.col("steps") + better.cast("int")).alias("steps"), (F.col("new.logdet") < F.col("logdet") - settled).alias("going"))
-        now = staged(stepped, "mcd")
+        after = _inverted(_concentrated(rows, now, n_starts, distance, sums), inverse).select(*new)
+        now = staged(now.join(after, ["g", "s"]).select(*stepped), "mcd")
         files += now.inputFiles()
         now = now.where("going")
     # all steps' files in one scan: a union of the steps would be a plan that grows with their number
@@ -226,7 +256,7 @@ def robust_estimates(rows: DataFrame, fence: float = 3.0, settled: float = 1e-3)
     place = F.struct("logdet", "s")
     best = every.groupBy("g").agg(F.min_by(F.struct(*[c for c in every.columns if c != "g"]), place).alias("b")).select("g", "b.*")
     best = staged(best, "mcd-best")
-    return best.join(_tail(rows, best, fence), "g").join(middle.select("g", "n"), "g")
+    return best.join(_tail(rows, best, n, distance, fence), "g").join(middle.select("g", "n"), "g")
 
 
 def quality(docs: DataFrame, least_words: int = 10, most_repeat_pct: int = 20, fence: float = 3.0,
@@ -261,7 +291,8 @@ def quality(docs: DataFrame, least_words: int = 10, most_repeat_pct: int = 20, f
     wider = F.array(F.when(F.col("k2") >= least_group, F.col("g2")), F.when(F.col("least2") < least_group, F.col("g1")),
                     F.when(F.lit(least1 is not None and least1 < least_group), F.col("g0")))
     tall = rows.where(~F.col("base_failed")).select(F.explode(F.filter(wider, lambda x: x.isNotNull())).alias("g"), *VECTOR)
-    found = staged(robust_estimates(tall, fence), "estimates")
+    # read by every step, so without the joins above
+    found = staged(robust_estimates(staged(tall, "vectors"), fence), "estimates")
     judged = rows.join(small(found.drop("n", "s"), MOST_GROUPS), "g", "left").withColumn("distance", _distance() * F.col("scale"))
     return judged.withColumn("cutoff", F.col("limit")).select(
         "doc_id", "version", *OUT[:6], "distance", "cutoff", (~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(False))).alias("kept"))
