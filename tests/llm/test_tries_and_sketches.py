@@ -87,6 +87,46 @@ def test_near_copies_that_are_not_alike_make_few_pairs(spark, monkeypatch):
     assert sum(pairs) < 5 * len(rows)
 
 
+def test_near_copies_that_share_changes_make_few_pairs(spark, monkeypatch):
+    """Two of a family share most of their changes, so few shingles are in one text only."""
+    rng, staged, pairs, rows = random.Random(4), H.staged, [], []
+    base = [f"w{i}" for i in range(150)]
+    for k in range(100):
+        family = rng.sample(range(150), 3)
+        for i in (2 * k, 2 * k + 1):
+            w = list(base)
+            for at in family:
+                w[at] = f"x{k}y{at}"
+            w[rng.randrange(150)] = f"z{i}"
+            rows.append((i, " ".join(w)))
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "staged", counted)
+    docs = spark.createDataFrame([(d, t, 1, 2, 3, "c", "s") for d, t in rows], EXTRA)
+    assert sorted(map(tuple, H.near_duplicates(docs).collect()), key=str) == brute_components(rows)
+    assert sum(pairs) < 5 * len(rows)
+
+
+def test_parity_sketches_drop_no_alike_pair():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(1, 1 << 63, n).astype(np.uint64)) for n in (1, 30, 200, 250, 260, 2000, 2100, 30_000)]
+    sets += [np.unique(np.concatenate([x[: int(len(x) * s)], rng.integers(1, 1 << 63, int(len(x) * t)).astype(np.uint64)])) for x in sets for s, t in ((1, 0.24), (0.9, 0.1), (0.85, 0.03), (0.6, 0.3))]
+    n = np.array(list(map(len, sets)))
+    known = H._Parities([None, *map(H.parity_sketch, sets)])
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    common = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    alike = 100 * common >= 80 * (n[i] + n[j] - common)
+    far = known.too_far(i + 1, j + 1, np.append(0, n))
+    assert not (far & alike).any() and alike.sum() > len(sets)
+    assert far[(n[i] < 3000) & (n[j] < 3000) & (100 * common < 60 * (n[i] + n[j] - common)) & (n[i] > 100) & (n[j] > 100)].all()
+    assert not known.too_far(np.zeros(3, int), np.arange(3), np.append(0, n)).any()  # without a sketch nothing is known
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert H.near_duplicates(spark.createDataFrame([], EXTRA)).count() == 0
 
